@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.confusables import consistent_forms, look_alike_pairs, look_groups
 from palimpsest.llm.near_duplicates import linked_pairs, membership, near_duplicates
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
+from palimpsest.llm.tokens import encode_column
+from palimpsest.sources.tables import once, table
 
 P1_LIKENESS = 0.5
 
@@ -26,8 +29,33 @@ def p1_classes(spark: SparkSession, root: str) -> DataFrame:
     return membership(_live_duplicates(spark, root))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of live passages whose canonical texts differ in characters but look the same."""
+    return look_alike_pairs(live_rows(spark, root, "id", "normalized", "canonical_text"), LEAST_WORDS)
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """One row per live passage: its group of equal looks."""
+    return look_groups(live_rows(spark, root, "id", "normalized", "canonical_text"), LEAST_WORDS)
+
+
+def p5_forms(spark: SparkSession, root: str) -> DataFrame:
+    """The consistent form of both text fields of every segment."""
+    forms = consistent_forms(table(spark, root, "segments").select("id", "canonical_text", "text"), "canonical_text", "text")
+    return once(forms.select("id", "canonical_text_form", "text_form"))
+
+
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_column(table(spark, root, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p5_forms": p5_forms,
+    "p7_ids": p7_ids,
 }
 SQL: dict[str, str] = {}
