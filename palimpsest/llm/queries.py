@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.confusables import consistent_forms, look_alike_pairs, look_groups
+from palimpsest.llm.leaks import leaks
 from palimpsest.llm.near_duplicates import linked_pairs, membership, near_duplicates
+from palimpsest.llm.packing import pack_sequences
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
 from palimpsest.llm.tokens import encode_column
 from palimpsest.sources.tables import once, table
 
 P1_LIKENESS = 0.5
+BATCH_CHARS = 1800
+LEAK_WORDS = 10
 
 
 def _live_duplicates(spark: SparkSession, root: str):
@@ -29,6 +34,13 @@ def p1_classes(spark: SparkSession, root: str) -> DataFrame:
     return membership(_live_duplicates(spark, root))
 
 
+def p2_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Translation batches of at most 1,800 characters from each version's body."""
+    body = table(spark, root, "segments").filter("role = 'body'").select("version_id", "id", "order_index", F.char_length("text").alias("n"))
+    packed = pack_sequences(body, "version_id", "id", "order_index", "n", BATCH_CHARS)
+    return packed.withColumnsRenamed({"seq": "version_id", "item_ids": "segment_ids", "n_items": "n_segments"})
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of live passages whose canonical texts differ in characters but look the same."""
     return look_alike_pairs(live_rows(spark, root, "id", "normalized", "canonical_text"), LEAST_WORDS)
@@ -50,12 +62,27 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_column(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold at least ten consecutive words of a benchmark item."""
+    docs, items = table(spark, root, "documents"), table(spark, root, "benchmark")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text", LEAK_WORDS)
+
+
+def p8_near(spark: SparkSession, root: str) -> DataFrame:
+    """The same with one word added, left out or changed in the ten."""
+    docs, items = table(spark, root, "documents"), table(spark, root, "benchmark")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text", LEAK_WORDS, max_edits=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_batches": p2_batches,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p5_forms": p5_forms,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
 }
 SQL: dict[str, str] = {}
