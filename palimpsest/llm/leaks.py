@@ -28,7 +28,7 @@ from palimpsest.functions.shingles import GOLD, U, mix, word_hashes
 
 WORD = re.compile(r"[a-z0-9]+")
 BITMAP_BITS = 20
-SAMPLED = 5
+SAMPLED = 8
 #: Texts are worked off in blocks of about this many characters.
 BLOCK_CHARS = 1 << 19
 _END = U(0x1F83D9ABFB41BD6B)

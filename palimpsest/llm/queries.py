@@ -12,6 +12,7 @@ from palimpsest.llm.leaks import leaks
 from palimpsest.llm.near_duplicates import linked_pairs, membership, near_duplicates
 from palimpsest.llm.packing import pack_sequences
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
+from palimpsest.llm.residue import classed_messages, recurring, residue
 from palimpsest.llm.tokens import encode_column
 from palimpsest.sources.tables import once, table
 
@@ -74,6 +75,17 @@ def p8_near(spark: SparkSession, root: str) -> DataFrame:
     return leaks(docs, "doc_id", "text", items, "item_id", "text", LEAK_WORDS, max_edits=1)
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with residue where content should be."""
+    return residue(table(spark, root, "documents"), "doc_id", "text", "source").select("doc_id").distinct()
+
+
+def p9_messages(spark: SparkSession, root: str) -> DataFrame:
+    """Every residual message by the hash of its normalised form, with its documents and sources."""
+    found = classed_messages(table(spark, root, "documents"), "doc_id", "text", "source")
+    return recurring(found).filter("kind IS NOT NULL")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -84,5 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_near": p8_near,
+    "p9_found": p9_found,
+    "p9_messages": p9_messages,
 }
 SQL: dict[str, str] = {}
