@@ -105,7 +105,7 @@ SCRIPTS_TOLD = re.compile(r"\b(?:runs?|works?|reads?|opens?) without (?:java ?sc
 TRIGGERS = {
     PLACEHOLDER: "{ } [[ << @@ __ %( %% <% [insert [add [enter [your [todo [tbd [placeholder [fill (todo (tbd (fixme todo: fixme: <a <b <c <d <e <f <g <h <i <j <k <l <m <n <o <p <q <r <s <t <u <v <w <x <y <z",
     FILLER: "lorem dolor adipisc eiusmod incididunt aliqua nostrud goes_here sample_ will_follow placeholder dummy filler be_replaced_before text_here content_here copy_here layout_purposes blindtext platzhalter mustertext remplissage texte_provisoire d'attente faux_texte 占位 待补充 此处填写 此处输入 示例文 xxx asdf qwer jkl sdfg zxcv foo_ blah bla_",
-    ERROR: "not_found gateway bad_request forbidden unauthori gone conflict server_error unavailable time-out timeout timed_out too_many_requests payment_required not_allowed precondition moved_permanently http error fehler erreur status_ 错误 出错 服务器 页面不存在 无法加载 无法访问 请求超时 traceback exception went_wrong prevented_us failed_to_load connect session sign_in log_in retry_later unable_to_ upstream try_again angeforderte aufgerufene page_demand introuvable serveur oops denied verweigert refusé 拒绝访问 稍后再试",
+    ERROR: "not_found gateway bad_request forbidden unauthori gone conflict server_error unavailable time-out timeout timed_out too_many_requests payment_required not_allowed precondition moved_permanently http error fehler erreur status_ 错误 出错 服务器 页面不存在 无法加载 无法访问 请求超时 traceback exception went_wrong prevented_us failed_to_load connection to_connect unable_to_load unable_to_fetch unable_to_retrieve session sign_in log_in retry_later upstream try_again angeforderte aufgerufene page_demand introuvable serveur oops denied verweigert refusé 拒绝访问 稍后再试",
     SCRIPTS: "script javascript js_ _js active_content cookies 脚本",
 }
 
@@ -136,17 +136,29 @@ def messages(text: str) -> list[str]:
     return [m for m in (" ".join(x.split()) for x in _SENTENCE.split(text)) if m]
 
 
+def triggered(text: str) -> int:
+    """The kinds (a bit each) of which a text holds a trigger word."""
+    bits = 0
+    for _, b in _automaton().iter(text.lower()):
+        bits |= b
+    return bits
+
+
 def classify(message: str) -> tuple[str, bool]:
     """(kind, plain) of a message, ("", False) for content.  A doubtful message has plain False."""
-    if FILLERS.search(message) and not FILLER_TOLD.search(message):
+    bits = triggered(message)
+    if not bits:
+        return "", False
+    of = {kind: bits >> i & 1 for i, kind in enumerate(KINDS)}
+    if of[FILLER] and FILLERS.search(message) and not FILLER_TOLD.search(message):
         return FILLER, True
-    if ERRORS.search(message) and not ERROR_TOLD.search(message):
+    if of[ERROR] and ERRORS.search(message) and not ERROR_TOLD.search(message):
         return ERROR, True
-    if SCRIPT_NOTICES.search(message) and not SCRIPTS_TOLD.search(message):
+    if of[SCRIPTS] and SCRIPT_NOTICES.search(message) and not SCRIPTS_TOLD.search(message):
         return SCRIPTS, True
-    if PLACEHOLDERS.search(_SPECIAL.sub(" ", message)) and not EXPLAINS.search(message):
+    if of[PLACEHOLDER] and PLACEHOLDERS.search(_SPECIAL.sub(" ", message)) and not EXPLAINS.search(message):
         return PLACEHOLDER, True
-    if ERROR_DOUBTFUL.search(message):
+    if of[ERROR] and ERROR_DOUBTFUL.search(message):
         return ERROR, False
     return "", False
 
