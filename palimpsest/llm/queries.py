@@ -11,10 +11,12 @@ from palimpsest.llm.confusables import consistent_forms, look_alike_pairs, look_
 from palimpsest.llm.leaks import leaks
 from palimpsest.llm.near_duplicates import linked_pairs, membership, near_duplicates
 from palimpsest.llm.packing import pack_sequences
+from palimpsest.llm.pairs import defects, main_defect, voted
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
 from palimpsest.llm.residue import classed_messages, recurring, residue
 from palimpsest.llm.tokens import encode_column
-from palimpsest.sources.tables import once, table
+from palimpsest.llm.truncation import NO_ANSWER, cut_rows, endings, open_answers, truncation_rates
+from palimpsest.sources.tables import current_rows, once, table
 
 P1_LIKENESS = 0.5
 BATCH_CHARS = 1800
@@ -42,6 +44,43 @@ def p2_batches(spark: SparkSession, root: str) -> DataFrame:
     return packed.withColumnsRenamed({"seq": "version_id", "item_ids": "segment_ids", "n_items": "n_segments"})
 
 
+def _votes(spark: SparkSession, root: str) -> DataFrame:
+    """The votes on each body segment and its current translation."""
+    current = current_rows(table(spark, root, "translations").select("segment_id", "id", "text", "status", "revision"), "segment_id", "revision", "id")
+    answers = current.filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select("segment_id", F.col("id").alias("row_id"), F.col("text").alias("answer"))
+    sources = once(table(spark, root, "segments").filter("role = 'body'").select("id", "text")).select(F.col("id").alias("segment_id"), F.col("text").alias("source_text"))
+    cuts = open_answers(spark, root, endings(spark, root)[1]).filter("cut").select("row_id", "cut")
+    tail = F.rtrim(F.regexp_replace("source_text", "[\\u00AD\\u200B-\\u200F\\u2060\\uFEFF]+", ""))
+    pairs = answers.join(sources, "segment_id").join(cuts, "row_id", "left").select(
+        F.col("segment_id").alias("pair_id"),
+        "source_text",
+        "answer",
+        F.coalesce("cut", F.lit(False)).alias("cut"),
+        F.coalesce(tail.rlike("[.!?\u3002\uff01\uff1f][\"'\u201d\u2019)\\]]*\\s*$"), F.lit(False)).alias("source_stops"),
+    )
+    return voted(pairs)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Body segments whose current translation is defective, with the likeliest defect."""
+    return main_defect(defects(_votes(spark, root))).withColumnRenamed("pair_id", "segment_id")
+
+
+def p3_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Every defect of every body segment's current translation whose posterior reaches its cutoff."""
+    return defects(_votes(spark, root)).withColumnRenamed("pair_id", "segment_id")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Paragraphs and answers whose text was cut inside a sentence or word."""
+    return cut_rows(spark, root)[0].select("table_name", "row_id")
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    """The share of cut rows of each source directory and provider."""
+    return truncation_rates(spark, root)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of live passages whose canonical texts differ in characters but look the same."""
     return look_alike_pairs(live_rows(spark, root, "id", "normalized", "canonical_text"), LEAST_WORDS)
@@ -90,6 +129,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
     "p2_batches": p2_batches,
+    "p3_found": p3_found,
+    "p3_labels": p3_labels,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p5_forms": p5_forms,
