@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.plans import changes
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _part in (changes,):
+    QUERIES |= _part.QUERIES
+    SQL |= getattr(_part, "SQL", {})
