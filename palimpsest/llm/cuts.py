@@ -73,20 +73,22 @@ def _hash(*x: object) -> int:
 
 
 def _mask(word: str) -> str:
+    if not _DIGITS.search(word):
+        return word
     word = _CODE.sub(lambda m: f"\x02{len(m.group(1))}", word)
     return _DIGITS.sub("\x03", word)
 
 
 def shape(sentence: str) -> tuple[str, str, int]:
     """(opening, closing, commas): codes keep their number of digits, other numbers none; case stays in the closing."""
-    commas = len(_COMMAS.findall(sentence))
+    commas = sentence.count(",") + sentence.count(";") + sentence.count("、")
     if _HAN.search(sentence):
         opening = _mask(sentence[:12])[:2]
         closing = _mask(sentence[-14:])[-2:]
     else:
-        words = sentence.split()
-        opening = _mask(" ".join(words[:2])).lower()
-        closing = _mask(words[-1].strip("\"'“”,;:()[]")) if words else ""
+        first, last = sentence.split(None, 2)[:2], sentence.rsplit(None, 1)[-1]
+        opening = _mask(" ".join(first)).lower()
+        closing = _mask(last.strip("\"'“”,;:()[]"))
     return opening, closing, commas
 
 
@@ -98,7 +100,12 @@ def balanced(fragment: str) -> bool:
     return last in _PAIRS and fragment.count(_PAIRS[last]) == fragment.count(last)
 
 
-OPEN_ENDED, LEAD_IN, MARKED = 0, 1, 2
+def unclosed(fragment: str) -> bool:
+    """Whether a bracket or quote is still open."""
+    return any(fragment.count(a) > fragment.count(b) for b, a in _PAIRS.items())
+
+
+OPEN_ENDED, LEAD_IN, MARKED, UNCLOSED = 0, 1, 2, 3
 #: What follows whole sentences is no label if it has fewer words, or characters of Han text.
 LEAST_LABEL = {False: 4, True: 6}
 #: Kinds of statistic rows.
@@ -108,21 +115,22 @@ WHOLE_SHAPE, WHOLE_OPENING, WHOLE_CLOSING = 0, 1, 2
 def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of two kinds: statistics of whole sentences (summed up per batch), and texts that end without a stop."""
     for b in batches:
-        seen: Counter[tuple[int, int]] = Counter()
+        shapes: Counter[tuple[str, str, int]] = Counter()
         out: list[tuple] = []
         for column, row_id, source, text in zip(*(b[c].to_pylist() for c in ("column", "row_id", "source", "text")), strict=True):
             whole, rest = parts(unwrapped(text))
-            for s in whole:
-                o, c, k = shape(s)
-                seen[WHOLE_SHAPE, _hash(o, c, k)] += 1
-                seen[WHOLE_OPENING, _hash(o)] += 1
-                seen[WHOLE_CLOSING, _hash(c)] += 1
+            shapes.update(map(shape, whole))
             if _LETTER.search(rest):
                 o, c, k = shape(rest)
                 refers = _REFERENCE.search(rest) and (_HAN.search(rest) or len(rest.split()) > 3)
-                mark = LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
+                mark = UNCLOSED if unclosed(rest) else LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
                 value = _TAIL_VALUE.search(rest)
                 out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(rest if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode())))
+        seen: Counter[tuple[int, int]] = Counter()
+        for (o, c, k), times in shapes.items():
+            seen[WHOLE_SHAPE, _hash(o, c, k)] += times
+            seen[WHOLE_OPENING, _hash(o)] += times
+            seen[WHOLE_CLOSING, _hash(c)] += times
         cols = list(zip(*out, strict=True)) if out else [()] * 13
         n, m = len(out), len(seen)
         signed = lambda xs: np.array(xs, np.uint64).view(np.int64)
@@ -222,6 +230,7 @@ def judged(staged: DataFrame) -> DataFrame:
     telling = F.col("n_opening") + F.col("n_bare") >= 20
     marked = (F.col("mark") == MARKED) & ~(telling & ~F.col("han") & (F.col("n_bare") < 0.2 * (F.col("n_bare") + F.col("n_opening"))))
     complete = (F.col("mark") == LEAD_IN) | marked | lacks_stop | (label & ~at_spike & ~F.col("stub") & (F.col("n_bare") >= 3) & ends_like_label)
+    complete &= F.col("mark") != UNCLOSED
     return rows.select("column", "row_id", "source", "n_chars", "n_bytes", "tail_value", "comma", at_spike.alias("at_spike"), complete.alias("complete"))
 
 

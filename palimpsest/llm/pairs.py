@@ -73,53 +73,71 @@ def folded(text: str) -> str:
     return "".join(c for c in skeleton(text).casefold() if c.isalnum() or unicodedata.category(c) == "Mn")
 
 
+#: One of these stands in every Chinese text that declines.
+_HAN_DECLINES = ("无法", "不能", "不便", "恕难", "难以", "不可以", "被拒绝", "超出", "作为", "不予")
+_LATIN_RUN = re.compile(r"[a-z]{2}")
+_SPEAKS = re.compile(r"[^\W_]")
+
+
+def _shown(text: str) -> str:
+    return "".join(c for c in text if unicodedata.category(c)[0] not in "ZC")
+
+
+def _refusal(answer: str, values: set[str], shared: bool, han: bool) -> tuple[int, ...]:
+    if han and not any(w in answer for w in _HAN_DECLINES):
+        declines, unquoted = -1, answer
+    else:
+        unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
+        declines = 1 if _DECLINES.search(unquoted) else -1
+    return declines, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if _ASKS.search(unquoted) else 0
+
+
 def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool) -> tuple[tuple[int, ...], ...]:
     """The votes of all labelling functions, a tuple per defect in the order of ``DEFECTS``."""
     source, answer = source or "", answer or ""
-    flat = "".join(c for c in answer if unicodedata.category(c)[0] not in "ZC")
-    bare = all(unicodedata.category(c)[0] == "P" for c in flat)
-    wrapped = source.replace("-\n", "")
-    f_answer = folded(answer)
-    same = bool(f_answer) and f_answer in (folded(source), folded(wrapped))
-    kept = same or flat == "".join(c for c in source if unicodedata.category(c)[0] not in "ZC")
-    # empty
-    speaks = any(c.isalnum() for c in flat)
-    empty = (1 if bare else -1, 1 if not flat else (-1 if speaks else 0), -1 if kept and flat else (1 if not speaks and any(c.isalnum() for c in source) else -1))
-    if bare:
-        return empty, (-1, -1, 0, -1), (-1, 0, -1), (-1, -1, -1, 0), (-1, 0, 0, -1)
-    # refusal
-    unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
+    if not _SPEAKS.search(answer):
+        flat = _shown(answer)
+        if all(unicodedata.category(c)[0] == "P" for c in flat):
+            kept = bool(flat) and flat == _shown(source)
+            empty = (1, 1 if not flat else 0, -1 if kept else (1 if _SPEAKS.search(source) else -1))
+            return empty, (-1, -1, 0, -1), (-1, 0, -1), (-1, -1, -1, 0), (-1, 0, 0, -1)
+    empty = (-1, -1, -1)
+    han = bool(_HAN.search(answer))
     values = set(_VALUE.findall(source))
-    shared = values & set(_VALUE.findall(answer))
-    declines = 1 if _DECLINES.search(unquoted) else -1
-    refusal = (declines, 1 if _OPENS.search(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if _ASKS.search(unquoted) else 0)
-    # copied
-    words = skeleton(wrapped).split()
-    han, n_letters = len(_HAN.findall(answer)), sum(map(len, _LETTERS.findall(answer)))
-    if len(words) >= LEAST_COPIED_WORDS:
-        own = {w.casefold() for w in _LETTERS.findall(skeleton(answer))}
-        theirs = {w.casefold() for w in _LETTERS.findall(skeleton(wrapped))}
-        near = len(own & theirs) >= 0.9 * max(1, len(own)) and not han
-        copied = (1 if same else -1, 1 if near else -1, -1 if han else 0)
-    else:
-        copied = (-1, 0, -1)
-    # wrong language
+    told = set(_VALUE.findall(answer)) if values else set()
+    refusal = _refusal(answer, values, bool(values & told), han)
     other = len(_OTHER_SCRIPT.findall(answer))
-    plain = [w for w in _LETTERS.findall(_CODE.sub(" ", answer)) if len(w) > 1 and not w.isupper() and not _HAN.search(w)]
-    foreign = [w for w in plain if w.casefold() not in source.casefold()]
-    if kept or same or declines > 0:
+    wrapped = source.replace("-\n", "")
+    same = kept = False
+    copied = (-1, -1, -1)
+    if not han:
+        f_answer = folded(answer)
+        same = bool(f_answer) and f_answer in (folded(source), folded(wrapped))
+        kept = same or _shown(answer) == _shown(source)
+        plain_source = skeleton(wrapped)
+        copied = (-1, 0, -1)
+        if sum(map(bool, map(_LETTERS.search, plain_source.split()))) >= LEAST_COPIED_WORDS:
+            own = {w.casefold() for w in _LETTERS.findall(skeleton(answer))}
+            theirs = {w.casefold() for w in _LETTERS.findall(plain_source)}
+            near = len(own) >= LEAST_COPIED_WORDS and len(own & theirs) >= 0.9 * len(own) and told <= values
+            copied = (1 if same else -1, 1 if near else -1, 0)
+    if kept or refusal[0] > 0:
         wrong = (-1, -1, -1, -1)
+    elif han and not other and not _LATIN_RUN.search(answer):
+        wrong = (-1, -1, -1, 0)
     else:
-        script = 1 if other >= 3 or (not han and len(plain) >= 3) else (-1 if han >= 0.3 * n_letters else 0)
-        function = sum(w.casefold() in FUNCTION_WORDS for w in plain)
-        wrong = (script, 1 if other >= 3 or len(foreign) >= 3 else -1, 1 if other >= 3 or (function and not han) else -1, 0)
-    # truncated
-    if not source_stops or same or declines > 0 or script_only(wrong):
+        plain = [w for w in _LETTERS.findall(_CODE.sub(" ", answer)) if len(w) > 1 and not w.isupper() and not _HAN.search(w)]
+        low = source.casefold()
+        foreign = sum(w.casefold() not in low for w in plain)
+        n_han = len(_HAN.findall(answer)) if han else 0
+        script = 1 if other >= 3 or (not han and len(plain) >= 3) else (-1 if n_han >= 0.2 * len(answer) else 0)
+        function = any(w.casefold() in FUNCTION_WORDS for w in plain)
+        wrong = (script, 1 if other >= 3 or foreign >= 3 else -1, 1 if other >= 3 or (function and not han) else -1, 0)
+    if not source_stops or same or copied[1] > 0 or refusal[0] > 0 or script_only(wrong):
         truncated = (-1, -1, 0, -1)
     else:
-        missing = bool(values - set(_VALUE.findall(answer)))
         short = len(answer) < SHORT * len(wrapped)
-        truncated = (1 if cut else -1, -1 if _STOP.search(answer.rstrip()) else 1, 0 if not values else (1 if missing else -1), 1 if short else 0)
+        truncated = (1 if cut else -1, -1 if _STOP.search(answer.rstrip()) else 1, 0 if not values else (1 if values - told else -1), 1 if short else 0)
     return empty, refusal, copied, wrong, truncated
 
 
