@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 # Patterns, limits and prices that results depend on.
 HAN = "[\\u4e00-\\u9fa5]"
+_WHITE = "\\s\\u000b\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+NOT_WHITE = f"[^{_WHITE}]"
 HAN_WIDE = "[\\u3400-\\u9fff]"
 LETTER_OR_HAN = "[A-Za-z\\u3400-\\u9fff]"
 BROKEN_IDENTIFIER = "[\\u4e00-\\u9fff]_[A-Za-z0-9]|[A-Za-z0-9]_[\\u4e00-\\u9fff]"
 HAN_BASIC = "[\\u4e00-\\u9fff]"
-DESIGNATION = "^[A-Z0-9][A-Z0-9 ._/()%,\\u00b0+#'\":\\u2013\\u2014-]*$"
-PUNCTUATION_ONLY = "^[\\s\\u3002\\uff0c\\u3001\\uff1b\\uff1a\\uff01\\uff1f,.!?;:\\u2026\\u2014\\u2013\"'\\u201c\\u201d\\u2018\\u2019()\\uff08\\uff09\\u3010\\u3011\\[\\]-]*$"
+DESIGNATION = "^[A-Z0-9][A-Z0-9 ._/()%,\\u00b0+#'\":\\u2013\\u2014-]*\\z"
+PUNCTUATION_ONLY = "^[\\s\\u3002\\uff0c\\u3001\\uff1b\\uff1a\\uff01\\uff1f,.!?;:\\u2026\\u2014\\u2013\"'\\u201c\\u201d\\u2018\\u2019()\\uff08\\uff09\\u3010\\u3011\\[\\]-]*\\z"
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "not", "when")
 TOKENS_PER_OTHER = 3.6
 WIDTHS = {"han": 1.0, "upper": 0.667, "lower": 0.5, "digit": 0.556, "blank": 0.278}
@@ -28,6 +30,16 @@ def is_trivial(c: Column) -> Column:
     return (F.length(t) < 2) | ~t.rlike(LETTER_OR_HAN)
 
 
+def strip(c: Column) -> Column:
+    """Without Unicode white space at the ends; null gives the empty string."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^[{_WHITE}]+|[{_WHITE}]+\\z", "")
+
+
+def is_blank(c: Column) -> Column:
+    """Null, or nothing but Unicode white space."""
+    return c.isNull() | ~c.rlike(NOT_WHITE)
+
+
 def has_han(c: Column) -> Column:
     return F.coalesce(c.rlike(HAN), F.lit(False))
 
@@ -105,7 +117,7 @@ def token_containment(a: Column, b: Column) -> Column:
 def estimate_tokens(c: Column) -> Column:
     """One token per Han character, one per 3.6 others, rounded half up."""
     t = F.coalesce(c, F.lit(""))
-    han = F.regexp_count(t, F.lit(HAN_WIDE))
+    han = F.regexp_count(t, F.lit("[\\u3400-\\u9fff\\u3000-\\u30ff]"))
     return F.floor(han + (F.length(t) - han) / TOKENS_PER_OTHER + F.lit(0.5)).cast("bigint")
 
 
@@ -116,7 +128,7 @@ def looks_broken_identifier(c: Column) -> Column:
 
 def substantive_length(c: Column) -> Column:
     """Length of a trimmed text, 0 if it holds nothing but punctuation and blanks."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(c)
     return F.when(t.rlike(PUNCTUATION_ONLY), F.lit(0)).otherwise(F.length(t))
 
 
@@ -125,18 +137,18 @@ def suspect(en: Column, zh: Column) -> Column:
 
     A pair with a blank or null side is not judged.
     """
-    e, z = F.trim(F.coalesce(en, F.lit(""))), F.trim(F.coalesce(zh, F.lit("")))
+    e, z = strip(en), strip(zh)
     judged = (e != "") & (z != "")
     return (
         F.when(judged & (F.length(e) >= 30) & (substantive_length(z) <= 2), "punctuation_only")
         .when(judged & (F.length(e) >= 60) & (F.length(z) / F.length(e) < 0.06), "too_short")
-        .when(judged & (F.length(e) >= 50) & z.rlike("[,;\\uff0c\\u3001]$"), "ends_with_comma")
+        .when(judged & (F.length(e) >= 50) & z.rlike("[,;\\uff0c\\u3001]\\z"), "ends_with_comma")
     )
 
 
 def shape_ok(en: Column, zh: Column, ratio: int = 3, floor: int = 40) -> Column:
     """A non-blank answer of at most max(ratio * source, floor) characters; of very short sources at most 12."""
-    e, z = F.trim(F.coalesce(en, F.lit(""))), F.trim(F.coalesce(zh, F.lit("")))
+    e, z = strip(en), strip(zh)
     short = (F.length(e) <= 2) & (F.length(z) > 12)
     return (F.length(z) > 0) & ~short & (F.length(z) <= F.greatest(F.length(e) * ratio, F.lit(floor)))
 
@@ -144,7 +156,7 @@ def shape_ok(en: Column, zh: Column, ratio: int = 3, floor: int = 40) -> Column:
 def classify_translation(text: Column, source: Column, status: Column) -> Column:
     """mock, empty, meaningless or ok: a failed blank is empty, a machine text with placeholder brackets mock,
     a machine text without Han that keeps neither its source nor the form of a designation meaningless."""
-    t, s, st = F.trim(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(source, F.lit(""))), F.coalesce(status, F.lit(""))
+    t, s, st = strip(text), strip(source), F.coalesce(status, F.lit(""))
     return (
         F.when((st == "failed") & (t == ""), "empty")
         .when((st == "machine") & t.contains("\u3014"), "mock")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import changes
+from palimpsest.plans import changes, order, store, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (changes,):
+for _part in (store, order, texts, changes):
     QUERIES |= _part.QUERIES
     SQL |= getattr(_part, "SQL", {})
