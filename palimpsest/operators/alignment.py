@@ -1,6 +1,6 @@
 """Alignment of two versions' segments: unchanged, modified, added, removed, moved, reordered, split and merged.
 
-A pair of versions is one unit of work (a cogrouped kernel); pairs run in
+A pair of versions is one unit of work (a grouped kernel); pairs run in
 parallel.  Memory of a task is that of the two versions, and the work inside a
 block is bounded by the fixed limits below, which are part of the result.
 """
@@ -287,8 +287,8 @@ def _side(df: pd.DataFrame) -> Side:
     return Side(df["id"].tolist(), number("page"), number("order_index"), df["text"].fillna("").tolist())
 
 
-def _kernel(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    rows = Alignment(_side(old), _side(new)).changes()
+def _kernel(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+    rows = Alignment(_side(both[~both["is_new"]]), _side(both[both["is_new"]])).changes()
     return pd.DataFrame(
         [(key[0], k, *r) for k, r in enumerate(rows)], columns=["step", "position", "change_kind", "old_ids", "new_ids", "ratio", "old_page", "new_page"]
     ).astype({"old_page": "Int32", "new_page": "Int32"})
@@ -303,9 +303,11 @@ def align(segments: DataFrame, steps: DataFrame) -> DataFrame:
     rows makes every row of the other one added or removed.
     """
     rows = segments.select("version_id", "id", "page", "order_index", "text")
-    side = lambda name: rows.join(steps.select(F.col(name).alias("version_id"), F.col("to_version").alias("step")), "version_id").drop("version_id")
-    old, new = side("from_version"), side("to_version")
-    return old.groupBy("step").cogroup(new.groupBy("step")).applyInPandas(_kernel, CHANGES)
+    places = steps.select(
+        F.explode(F.array(F.struct(F.col("from_version").alias("version_id"), F.lit(False).alias("is_new")), F.struct(F.col("to_version").alias("version_id"), F.lit(True).alias("is_new")))).alias("p"),
+        F.col("to_version").alias("step"),
+    ).select("step", "p.*")
+    return rows.join(places, "version_id").drop("version_id").groupBy("step").applyInPandas(_kernel, CHANGES)
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
