@@ -27,28 +27,27 @@ def overlap_share(a: Column, b: Column) -> Column:
     return F.when(area > 0, X.box_overlap(a, b) / area).otherwise(F.lit(0.0))
 
 
-def without_known_labels(labels: DataFrame, segments: DataFrame) -> DataFrame:
-    """OCR labels (version_id, page, text, box) that no segment of the page already says or covers.
+def without_known_labels(labels: DataFrame, segments: DataFrame, key: str = "label_id") -> DataFrame:
+    """OCR labels (key, version_id, page, text, box) that no segment of the page already says or covers.
 
     A label is known if a segment has the same letters and digits, or contains
     them (from four on), or a long segment lies over three quarters of it.
     """
-    l = labels.withColumn("_id", F.monotonically_increasing_id()).withColumn("_key", X.upper_alnum(F.col("text")))
+    l = labels.withColumn("_key", X.upper_alnum(F.col("text")))
     s = segments.select("version_id", "page", X.upper_alnum(F.col("text")).alias("_said"), F.char_length("text").alias("_n"), F.col("bbox").alias("_over"))
     says = (F.col("_key") == F.col("_said")) | ((F.length("_key") >= OCR_LABEL) & F.contains("_said", "_key"))
     covers = (F.col("_n") >= OCR_TEXT) & (overlap_share(F.col("box"), F.col("_over")) > OCR_OVERLAP)
-    known = l.join(s, ["version_id", "page"]).filter(says | covers).select("_id").distinct()
-    return l.join(known, "_id", "left_anti").drop("_id", "_key")
+    known = l.join(s, ["version_id", "page"]).filter(says | covers).select(key).distinct()
+    return l.join(known, key, "left_anti").drop("_key")
 
 
-def uncovered(spans: DataFrame, rects: DataFrame) -> DataFrame:
-    """Spans (version_id, page, box) outside all rectangles of their page: centre outside, and at most half covered."""
-    s = spans.withColumn("_id", F.monotonically_increasing_id())
+def uncovered(spans: DataFrame, rects: DataFrame, key: str = "span_id") -> DataFrame:
+    """Spans (key, version_id, page, box) outside all rectangles of their page: centre outside, and at most half covered."""
     b, r = F.col("box"), F.col("rect")
     cx, cy = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
     inside = cx.between(r["x0"], r["x1"]) & cy.between(r["y0"], r["y1"])
-    hit = s.join(rects.select("version_id", "page", "rect"), ["version_id", "page"]).filter(inside | (overlap_share(b, r) > COVERED)).select("_id").distinct()
-    return s.join(hit, "_id", "left_anti").drop("_id")
+    hit = spans.join(rects.select("version_id", "page", "rect"), ["version_id", "page"]).filter(inside | (overlap_share(b, r) > COVERED)).select(key).distinct()
+    return spans.join(hit, key, "left_anti")
 
 
 def fragments_in_hosts(segments: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import parallelism
+from palimpsest.sources.tables import parallelism, stage
 
 
 def latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
@@ -95,8 +95,9 @@ def allocate_ids(df: DataFrame, order: Sequence[str], base: int, name: str = "id
 
     Rows are range-partitioned by the order; each partition numbers its own
     from the sum of the counts before it.  ``order`` must tell all rows apart.
+    The partitioned rows are staged, so that both uses see the same ranges.
     """
-    spread = df.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spread = stage(df.repartitionByRange(parallelism(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "spread")
     at = Window.partitionBy("_p").orderBy(*order)
     sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

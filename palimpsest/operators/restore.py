@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as X
 from palimpsest.functions.text import normalize
+from palimpsest.sources.tables import stage
 
 # Limits of the containment tier.
 LEAST_CONTAINED, LEAST_SHARE = 8, 0.5
@@ -41,7 +42,8 @@ def restore(backup: DataFrame, segments: DataFrame, shape_check: bool = True) ->
     within the other. Answers out of proportion to their new source are left
     for translation. Old rows that find no place are not in the result.
     """
-    b = backup.withColumn("row_id", F.monotonically_increasing_id())
+    # written once, so that the numbers are the same in every branch that reads them
+    b = stage(backup.withColumn("row_id", F.monotonically_increasing_id()), "backup")
     s = segments.select(F.col("id").alias("segment_id"), "version_id", "page", "order_index", "fingerprint", "canonical_text")
 
     def tier(old: DataFrame, new: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -75,8 +75,8 @@ def test_spatial_joins(spark):
     s = spark.createDataFrame([(1, 1, 1, (0.0, 0.0, 100.0, 50.0), "PUMP LIMIT AND MORE WORDS HERE"), (1, 1, 2, (10.0, 10.0, 20.0, 20.0), "x"), (1, 1, 3, (0.0, 60.0, 50.0, 70.0), "y"), (1, 1, 4, None, None)], f"version_id bigint, page int, id bigint, bbox {box}, text string")
     assert [r.id for r in G.fragments_in_hosts(s).collect()] == [2]
     assert {r.id: r.next_y for r in G.next_below(s).collect()} == {1: 60.0, 2: 60.0, 3: None, 4: None}
-    labels = spark.createDataFrame([(1, 1, "pump-limit", (300.0, 0.0, 310.0, 5.0)), (1, 1, "new", (300.0, 0.0, 310.0, 5.0)), (1, 1, "under", (1.0, 1.0, 9.0, 9.0))], f"version_id bigint, page int, text string, box {box}")
+    labels = spark.createDataFrame([(1, 1, 1, "pump-limit", (300.0, 0.0, 310.0, 5.0)), (2, 1, 1, "new", (300.0, 0.0, 310.0, 5.0)), (3, 1, 1, "under", (1.0, 1.0, 9.0, 9.0))], f"label_id bigint, version_id bigint, page int, text string, box {box}")
     assert [r.text for r in G.without_known_labels(labels, s).collect()] == ["new"]
-    spans = spark.createDataFrame([(1, 1, "in", (10.0, 10.0, 20.0, 20.0)), (1, 1, "out", (200.0, 0.0, 210.0, 5.0))], f"version_id bigint, page int, text string, box {box}")
+    spans = spark.createDataFrame([(1, 1, 1, "in", (10.0, 10.0, 20.0, 20.0)), (2, 1, 1, "out", (200.0, 0.0, 210.0, 5.0))], f"span_id bigint, version_id bigint, page int, text string, box {box}")
     rects = spark.createDataFrame([(1, 1, (0.0, 0.0, 100.0, 50.0))], f"version_id bigint, page int, rect {box}")
     assert [r.text for r in G.uncovered(spans, rects).collect()] == ["out"]
