@@ -302,7 +302,7 @@ def align(segments: DataFrame, steps: DataFrame) -> DataFrame:
     ``steps``: from_version, to_version (the step's name).  A version without
     rows makes every row of the other one added or removed.
     """
-    rows = segments.select("version_id", "id", "page", "order_index", "text")
+    rows = segments.filter("id IS NOT NULL").select("version_id", "id", "page", "order_index", "text")
     places = steps.select(
         F.explode(F.array(F.struct(F.col("from_version").alias("version_id"), F.lit(False).alias("is_new")), F.struct(F.col("to_version").alias("version_id"), F.lit(True).alias("is_new")))).alias("p"),
         F.col("to_version").alias("step"),

@@ -18,9 +18,9 @@ RESTORED = "version_id bigint, segment_id bigint, tier string, text string, stat
 def _page_rest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """The containment tier on one page: each old row takes the nearest-sized free segment that contains it or that it contains."""
     old, new = pdf[pdf["is_old"]], pdf[~pdf["is_old"]]
-    free = {int(i): normalize(t) for i, t in zip(new["segment_id"], new["canonical_text"], strict=True)}
+    free = {int(i): normalize(t) for i, t in zip(new["key"], new["canonical_text"], strict=True)}
     out = []
-    for r in old.sort_values(["order_index", "row_id"]).itertuples():
+    for r in old.sort_values(["order_index", "key"]).itertuples():
         mine = normalize(r.canonical_text)
         fits = [
             (abs(len(t) - len(mine)), i)
@@ -30,7 +30,7 @@ def _page_rest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if fits:
             _, i = min(fits)
             del free[i]
-            out.append((r.row_id, i))
+            out.append((r.key, i))
     return pd.DataFrame(out, columns=["row_id", "segment_id"])
 
 
@@ -40,11 +40,12 @@ def restore(backup: DataFrame, segments: DataFrame, shape_check: bool = True) ->
     exact: equal page and fingerprint, in order of occurrence; near: equal
     fingerprint, in order of page and place; contains: on the page, one text
     within the other. Answers out of proportion to their new source are left
-    for translation. Old rows that find no place are not in the result.
+    for translation. Old rows that find no place are not in the result; null
+    fingerprints and pages equal nothing.
     """
     # written once, so that the numbers are the same in every branch that reads them
     b = stage(backup.withColumn("row_id", F.monotonically_increasing_id()), "backup")
-    s = segments.select(F.col("id").alias("segment_id"), "version_id", "page", "order_index", "fingerprint", "canonical_text")
+    s = segments.filter("id IS NOT NULL").select(F.col("id").alias("segment_id"), "version_id", "page", "order_index", "fingerprint", "canonical_text")
 
     def tier(old: DataFrame, new: DataFrame, keys: list[str], name: str) -> DataFrame:
         number = lambda df, last: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "order_index", last)))
@@ -56,8 +57,8 @@ def restore(backup: DataFrame, segments: DataFrame, shape_check: bool = True) ->
     found = found.unionAll(near)
     rest_b, rest_s = rest_b.join(near, "row_id", "left_anti"), rest_s.join(near, "segment_id", "left_anti")
     columns = ["version_id", "page", "order_index", "canonical_text"]
-    nothing = F.lit(None).cast("bigint")
-    pages = rest_b.select(*columns, "row_id", nothing.alias("segment_id"), F.lit(True).alias("is_old")).unionAll(rest_s.select(*columns, nothing.alias("row_id"), "segment_id", F.lit(False).alias("is_old")))
+    # one key column without nulls: pandas would turn nullable ids into floats
+    pages = rest_b.select(*columns, F.col("row_id").alias("key"), F.lit(True).alias("is_old")).unionAll(rest_s.select(*columns, F.col("segment_id").alias("key"), F.lit(False).alias("is_old")))
     contained = pages.groupBy("version_id", "page").applyInPandas(_page_rest, "row_id bigint, segment_id bigint").withColumn("tier", F.lit("contains"))
     placed = found.unionAll(contained).join(b.drop("canonical_text", "fingerprint", "page", "order_index"), "row_id").join(s.select("segment_id", "canonical_text"), "segment_id")
     kept = placed.filter(X.shape_ok(F.col("canonical_text"), F.col("text"))) if shape_check else placed

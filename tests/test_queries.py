@@ -62,3 +62,9 @@ def test_import_without_session():
 
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 60 and e.oracle_sql()"], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_on_nulls_repeats_and_long_texts(spark, dirty_root, name):
+    rows = catalogue.QUERIES[name](spark, dirty_root).collect()
+    assert rows is not None
