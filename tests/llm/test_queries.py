@@ -25,3 +25,10 @@ def empty_root(spark, root, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_on_empty_tables(spark, empty_root, name):
     assert QUERIES[name](spark, empty_root).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_on_nulls_repeats_and_long_texts(spark, dirty_root, name):
+    rows = [tuple(r) for r in QUERIES[name](spark, dirty_root).collect()]
+    if name.endswith("_found"):
+        assert len(rows) == len(set(rows)) and all(v is not None for r in rows for v in r)
