@@ -44,7 +44,7 @@ _COMMAS = re.compile(r"[,;，、；]")
 _TAIL_VALUE = re.compile(r"(?:[A-Z]{1,5}-)?\d+$")
 _LEAD_IN = re.compile(r"[:：]$")
 _REFERENCE = re.compile(
-    r"(?:\b(?:Tables?|Figures?|Fig\.?|Sections?|Chapters?|sheets?|pages?|Notes?|Items?|Steps?|Appendix|Annex|Part|Abschnitt|Tabelle|Tableau|Chapitre)|[表图第节章])\s*[\dA-Z]+(?:[-.]\d+)*\s*[页章节]?$"
+    r"(?:\b(?:Tables?|Figures?|Fig\.?|Sections?|Chapters?|sheets?|pages?|Notes?|Items?|Steps?|Appendix|Annex|Part|Abschnitt|Tabelle|Tableau|Chapitre)\s*[\dA-Z]+|[表图第节章]\s*\d+)(?:[-.]\d+)*\s*[页章节]?$"
 )
 _PAIRS = {")": "(", "）": "（", "]": "[", "”": "“", "」": "「", "』": "『"}
 
@@ -75,7 +75,7 @@ def _hash(*x: object) -> int:
 def _mask(word: str) -> str:
     if not _DIGITS.search(word):
         return word
-    word = _CODE.sub(lambda m: f"\x02{len(m.group(1))}", word)
+    word = _CODE.sub(lambda m: "\x02" + "abcdefgh"[min(len(m.group(1)), 8) - 1], word)  # a letter for the number of digits
     return _DIGITS.sub("\x03", word)
 
 
