@@ -29,7 +29,7 @@ from palimpsest.sources.tables import stage
 EMPTY, REFUSAL, COPIED, WRONG_LANGUAGE, TRUNCATED = DEFECTS = ("empty", "refusal", "copied", "wrong_language", "truncated")
 LEAST_COPIED_WORDS = 5
 
-_QUOTED = re.compile(r"“[^”]*”|\"[^\"]*\"|「[^」]*」|『[^』]*』|«[^»]*»")
+_QUOTED = re.compile(r"“[^”]*(?:”|$)|\"[^\"]*\"|「[^」]*」|『[^』]*』|«[^»]*»")
 _DECLINES = re.compile(
     r"(?:无法|不能|不便|恕难|难以|不可以)[^。]{0,8}(?:翻译|译文|处理(?:该|此|这)|回答|答复|协助|完成(?:该|此|这))|(?:请求|要求)(?:已)?被拒绝|超出了?我的|作为(?:一个|一名)?(?:语言助手|语言模型|人工智能|AI)|不予(?:翻译|提供)"
     r"|\b(?:can ?not|can.?t|unable to|not able to|won.?t|will not|may not|refuse to)\s+(?:\w+ ){0,2}(?:translat|help|assist|answer|provid|process|comply|complete|continue)"
@@ -54,6 +54,7 @@ _VALUE = re.compile(r"(?:[A-Z]{1,5}-)?\d+(?:\.\d+)*")
 _CODE = re.compile(r"\b[A-Z]{1,5}-\d+\b")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"[.!?。！？][\"'”’)）\]」』]*$")
+_TRAILING_OFF = re.compile(r"(?:…|\.{3,})[\s…]*$")
 _HAN = re.compile("[㐀-䶿一-鿿]")
 _OTHER_SCRIPT = re.compile("[぀-ヿㇰ-ㇿ가-힯ᄀ-ᇿЀ-ӿ֐-ۿऀ-෿฀-๿]")
 # Frequent function words of languages in Latin script.
@@ -137,7 +138,7 @@ def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool)
         truncated = (-1, -1, 0, -1)
     else:
         short = len(answer) < SHORT * len(wrapped)
-        truncated = (1 if cut else -1, -1 if _STOP.search(answer.rstrip()) else 1, 0 if not values else (1 if values - told else -1), 1 if short else 0)
+        truncated = (1 if cut else -1, -1 if _STOP.search(_TRAILING_OFF.sub("", answer.rstrip())) else 1, 0 if not values else (1 if values - told else -1), 1 if short else 0)
     return empty, refusal, copied, wrong, truncated
 
 
