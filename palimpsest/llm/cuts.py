@@ -57,7 +57,7 @@ def unwrapped(text: str) -> str:
 
 
 def parts(text: str) -> tuple[list[str], str]:
-    """The whole sentences of an unwrapped text, and what follows the last stop.  An ellipsis at the end is no stop."""
+    """The whole sentences of an unwrapped text, and what follows the last stop.  An ellipsis at the end is no stop but a sign of more."""
     text = _TRAILING_OFF.sub("", text)
     whole, at = [], 0
     for m in _STOP.finditer(text):
@@ -83,7 +83,8 @@ def shape(sentence: str) -> tuple[str, str, int]:
     """(opening, closing, commas): codes keep their number of digits, other numbers none; case stays in the closing."""
     commas = sentence.count(",") + sentence.count(";") + sentence.count("、")
     if _HAN.search(sentence):
-        opening = _mask(sentence[:12])[:2]
+        head = _mask(sentence[:14])
+        opening = head[:6] if "\x02" in head[:3] else head[:2]  # a code alone says little
         closing = _mask(sentence[-14:])[-2:]
     else:
         first, last = sentence.split(None, 2)[:2], sentence.rsplit(None, 1)[-1]
@@ -118,12 +119,13 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes: Counter[tuple[str, str, int]] = Counter()
         out: list[tuple] = []
         for column, row_id, source, text in zip(*(b[c].to_pylist() for c in ("column", "row_id", "source", "text")), strict=True):
-            whole, rest = parts(unwrapped(text))
+            line = unwrapped(text)
+            whole, rest = parts(line)
             shapes.update(map(shape, whole))
             if _LETTER.search(rest):
                 o, c, k = shape(rest)
                 refers = _REFERENCE.search(rest) and (_HAN.search(rest) or len(rest.split()) > 3)
-                mark = UNCLOSED if unclosed(rest) else LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
+                mark = UNCLOSED if unclosed(rest) or _TRAILING_OFF.search(line) else LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
                 value = _TAIL_VALUE.search(rest)
                 out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(rest if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode())))
         seen: Counter[tuple[int, int]] = Counter()
