@@ -107,8 +107,8 @@ def unclosed(fragment: str) -> bool:
 
 
 OPEN_ENDED, LEAD_IN, MARKED, UNCLOSED = 0, 1, 2, 3
-#: What follows whole sentences is no label if it has fewer words, or characters of Han text.
-LEAST_LABEL = {False: 4, True: 6}
+#: What follows whole sentences is no label if it has fewer words, or characters of Han text with values as one.
+LEAST_LABEL = {False: 4, True: 8}
 #: Kinds of statistic rows.
 WHOLE_SHAPE, WHOLE_OPENING, WHOLE_CLOSING = 0, 1, 2
 
@@ -127,7 +127,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 refers = _REFERENCE.search(rest) and (_HAN.search(rest) or len(rest.split()) > 3)
                 mark = UNCLOSED if unclosed(rest) or _TRAILING_OFF.search(line) else LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
                 value = _TAIL_VALUE.search(rest)
-                out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(rest if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode())))
+                out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(_mask(rest) if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode())))
         seen: Counter[tuple[int, int]] = Counter()
         for (o, c, k), times in shapes.items():
             seen[WHOLE_SHAPE, _hash(o, c, k)] += times
