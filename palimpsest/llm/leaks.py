@@ -98,7 +98,15 @@ def _windows(texts: list[str | None], window: int, known: np.ndarray | None, max
         strange = np.concatenate(([0], np.cumsum(~known[_pair_cells(flat)]))) if len(flat) > 1 else np.zeros(1, np.int64)
         keep = strange[begin + window - 1] - strange[begin] <= 2 * max_edits
         owner, begin = owner[keep], begin[keep]
-    return owner, flat[begin[:, None] + np.arange(window)]
+    found = flat[begin[:, None] + np.arange(window)]
+    if len(found) > 1:  # a window that a text repeats counts once
+        with np.errstate(over="ignore"):
+            name = mix(owner.astype(U) + U(1))
+            for place in range(window):
+                name = mix(name + found[:, place])
+        _, first = np.unique(name, return_index=True)
+        owner, found = owner[first], found[first]
+    return owner, found
 
 
 def _windowed(window: int, max_edits: int, reps: int, bitmap):
