@@ -74,8 +74,12 @@ def folded(text: str) -> str:
     return "".join(c for c in skeleton(text).casefold() if c.isalnum() or unicodedata.category(c) == "Mn")
 
 
-#: One of these stands in every Chinese text that declines.
-_HAN_DECLINES = ("无法", "不能", "不便", "恕难", "难以", "不可以", "被拒绝", "超出", "作为", "不予")
+#: One of these stands in every text that ``_DECLINES`` finds, whatever its language, once case is folded.
+_DECLINE_MARKS = (
+    *"无法 不能 不便 恕难 难以 不可以 被拒绝 超出 作为 不予 translat help assist answer provid process compl continue decline request outside beyond against".split(),
+    *("as a", "kann", "es tut", "sprachmodell", "je ", "désolé", "en tant", "puedo", "siento", "modelo", "posso", "не могу", "извините", "к сожалению", "как языковая"),
+    *("申し訳", "できません", "죄송", "번역할 수", "도와드릴 수", "답변할 수"),
+)
 _LATIN_RUN = re.compile(r"[a-z]{2}")
 _SPEAKS = re.compile(r"[^\W_]")
 
@@ -84,13 +88,20 @@ def _shown(text: str) -> str:
     return "".join(c for c in text if unicodedata.category(c)[0] not in "ZC")
 
 
-def _refusal(answer: str, values: set[str], shared: bool, han: bool) -> tuple[int, ...]:
-    if han and not any(w in answer for w in _HAN_DECLINES):
-        declines, unquoted = -1, answer
-    else:
-        unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
-        declines = 1 if _DECLINES.search(unquoted) else -1
-    return declines, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if _ASKS.search(unquoted) else 0
+def _caseless(text: str) -> str:
+    """Case folded as ``re.I`` sees it, for which both Turkish letters are an i."""
+    return text.replace("İ", "i").replace("ı", "i").casefold()
+
+
+def declines(unquoted: str) -> bool:
+    """Whether ``_DECLINES`` finds something; the expression itself only runs where one of its marks stands."""
+    low = _caseless(unquoted)
+    return any(m in low for m in _DECLINE_MARKS) and bool(_DECLINES.search(unquoted))
+
+
+def _refusal(answer: str, values: set[str], shared: bool) -> tuple[int, ...]:
+    unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
+    return 1 if declines(unquoted) else -1, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if _ASKS.search(unquoted) else 0
 
 
 def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool) -> tuple[tuple[int, ...], ...]:
@@ -106,22 +117,22 @@ def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool)
     han = bool(_HAN.search(answer))
     values = set(_VALUE.findall(source))
     told = set(_VALUE.findall(answer)) if values else set()
-    refusal = _refusal(answer, values, bool(values & told), han)
+    refusal = _refusal(answer, values, bool(values & told))
     other = len(_OTHER_SCRIPT.findall(answer))
     wrapped = source.replace("-\n", "")
     same = kept = False
     copied = (-1, -1, -1)
-    if not han:
+    if not han or not source.isascii():  # the skeleton keeps Han characters, so nothing with one of them equals ASCII
         f_answer = folded(answer)
         same = bool(f_answer) and f_answer in (folded(source), folded(wrapped))
         kept = same or _shown(answer) == _shown(source)
         plain_source = skeleton(wrapped)
-        copied = (-1, 0, -1)
+        copied = (-1, -1 if han else 0, -1)
         if sum(map(bool, map(_LETTERS.search, plain_source.split()))) >= LEAST_COPIED_WORDS:
             own = {w.casefold() for w in _LETTERS.findall(skeleton(answer))}
             theirs = {w.casefold() for w in _LETTERS.findall(plain_source)}
-            near = len(own) >= LEAST_COPIED_WORDS and len(own & theirs) >= 0.9 * len(own) and told <= values
-            copied = (1 if same else -1, 1 if near else -1, 0)
+            near = len(own) >= LEAST_COPIED_WORDS and len(own & theirs) >= 0.9 * len(own) and told <= values and (same or not han)
+            copied = (1 if same else -1, 1 if near else -1, -1 if han and not same else 0)
     if kept or refusal[0] > 0:
         wrong = (-1, -1, -1, -1)
     elif han and not other and not _LATIN_RUN.search(answer):

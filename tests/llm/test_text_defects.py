@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from palimpsest.llm import cuts as U
 from palimpsest.llm import pairs as D
@@ -90,6 +92,35 @@ def test_votes_tell_defects(answer, cut, expected):
     assert kept == ([expected] if expected else [])
 
 
+def kept_defects(source, answer, cut=False):
+    """The defects kept with the priors alone, on a corpus of mostly sound pairs."""
+    sound = D.votes(SOURCE, ANSWER, False, True)
+    fits = ((d, D.encode_votes(v), D.encode_votes(w)) for d, v, w in zip(D.DEFECTS, D.votes(source, answer, cut, True), sound, strict=True))
+    return [d for d, v, w in fits if D.fit(d, {v: 1} | {w: 200 + (v == w)})[v] >= D.CUTOFFS[d]]
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "申し訳ありませんが、この文章は翻訳できません。", "翻訳できません。", "この質問にはお答えできません。", "죄송합니다. 漢字 원문은 번역할 수 없습니다.",
+        "I'm sorry, but I cannot translate this text into 中文.", "Leider kann ich den Text nicht ins 中文 übersetzen.", "К сожалению, я не могу перевести это на 中文.", "Je suis désolé, je ne peux pas traduire en 中文.",
+    ],
+)
+def test_refusals_that_hold_han_characters(answer):
+    assert kept_defects(SOURCE, answer) == ["refusal"]
+
+
+def test_copies_that_hold_han_characters():
+    source = "Press the key marked 停止 before the left pump is removed."
+    assert kept_defects(source, source.upper()) == ["copied"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.from_regex(D._DECLINES), st.sampled_from(["", "阀", "中文 "]))
+def test_marks_leave_no_refusal_out(refusal, before):
+    assert D._DECLINES.search(before + refusal) is None or D.declines(before + refusal)
+
+
 @pytest.mark.parametrize(("source", "answer"), [("KX-1234", "KX-1234"), ("300 psi", "300 psi"), ("°", "°"), ("Δp 30 N, α 8°", "Δp 30 N，α 8°"), ("ON", "ON"), (None, "阀")])
 def test_kept_codes_are_no_defect(source, answer):
     v = D.votes(source, answer, False, False)
