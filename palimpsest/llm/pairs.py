@@ -50,6 +50,29 @@ _ASKS = re.compile(
     r"请提供更多|请咨询|如有其他问题|乐意帮忙|使用规定|敏感内容|更多上下文|more context|another wording|anything else (?:you|i)|content policy|restricted data|rephrase|weitere(?:n)? kontext|plus de contexte|más contexto|больше контекста",
     re.I,
 )
+#: Asks back about the text to translate, which alone makes an answer a refusal.
+_ASKS_BACK = re.compile(
+    r"(?:提供|补充|给出|需要|缺少|说明|告诉我|告知)[^。？！?!]{0,10}(?:上下文|语境|背景(?:信息|资料))|请(?:您|你)?(?:再)?提供更多|(?:提供|发送|粘贴|输入|发给我)[^。？！?!]{0,8}(?:需要?|要|想|待)翻译|(?:您|你)(?:指的|的意思|想问的|想说的)是|(?:您|你)是指|请问(?:您|你|这|此|该|原文)"
+    r"|\b(?:more|further|additional|extra|enough|some|without) (?:\w+ )?context\b|\b(?:provide|supply|give|share|send|need)\b[^.?!]{0,20}\bcontext\b|\b(?:please|you) (?:re)?(?:clarify|phrase)\b|\b(?:do|did|would) you mean\b"
+    r"|\b(?:provide|supply|give|share|send|paste|enter)\b[^.?!]{0,20}\b(?:text|passage|sentence|content)\b[^.?!]{0,30}\btranslat"
+    r"|\b(?:mehr|weitere[nr]?|zusätzliche[nr]?) (?:kontext|zusammenhang)\b|\bmeinen sie\b|\bmeinst du\b|\b(?:könnten|können) sie\b[^.?!]{0,30}\b(?:präzisieren|klarstellen|erläutern, was)"
+    r"|\b(?:plus de|davantage de) contexte\b|\bcontexte supplémentaire\b|\b(?:pourriez|pouvez|voulez)-vous (?:préciser|clarifier|reformuler|dire)\b"
+    r"|\b(?:más|mayor) contexto\b|\b(?:mais) contexto\b|\bcontexto adicional\b|\b(?:podría|podrías|puede|puedes|poderia|pode) (?:aclarar|reformular|esclarecer)\b|\b(?:più|maggior[ei]?|ulteriore) contesto\b|\bcontesto aggiuntivo\b|\b(?:potrebbe|può|puoi|potresti) (?:chiarire|riformulare)\b"
+    r"|(?:больше|дополнительный|дополнительного) контекст|контекста не хватает|пожалуйста,? уточните|уточните,? пожалуйста|не могли бы вы (?:уточнить|пояснить)|что вы имеете в виду"
+    r"|(?:文脈|コンテキスト|背景情報)[^。？！]{0,12}(?:教えて|提供|ご提示|提示して|お知らせ|必要|不足)|もう少し[^。？！]{0,8}教えて|どういう意味です|翻訳(?:したい|する|してほしい)[^。？！]{0,12}(?:入力して|提供して|教えて|送って|お送り)"
+    r"|(?:문맥|맥락)[^.?!]{0,12}(?:제공|알려|필요|부족|주세요)|번역할 [^.?!]{0,16}(?:주세요|알려|입력)|무슨 뜻인가요",
+    re.I,
+)
+#: One of these stands in every text that ``_ASKS_BACK`` finds, once case is folded.
+_ASK_MARKS = (
+    *("上下文", "语境", "背景", "提供更多", "翻译", "您指的", "你指的", "您的意思", "你的意思", "您想", "你想", "您是指", "你是指", "请问"),
+    *("context", "clarify", "phrase", "you mean", "translat", "kontext", "zusammenhang", "meinen sie", "meinst du", "nnen sie", "nnten sie", "-vous ", "aclarar", "reformular", "esclarecer", "contesto", "chiarire", "riformulare"),
+    *("контекст", "уточни", "пояснить", "имеете в виду", "文脈", "コンテキスト", "もう少し", "どういう意味", "翻訳", "문맥", "맥락", "번역할", "무슨 뜻"),
+)
+#: A source that itself speaks of such things may be translated by a text that seems to ask back.
+_SOURCE_ASKS = re.compile(
+    r"\b(?:context|background|clarif\w+|(?:re)?phras\w+|translat\w+)\b|\byou mean\b|\b(?:provide|supply|give|send|share|submit|state|offer)\b[^.?!]{0,30}\b(?:more|further|additional|extra)\b", re.I
+)
 _VALUE = re.compile(r"(?:[A-Z]{1,5}-)?\d+(?:\.\d+)*")
 _CODE = re.compile(r"\b[A-Z]{1,5}-\d+\b")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,9 +122,17 @@ def declines(unquoted: str) -> bool:
     return any(m in low for m in _DECLINE_MARKS) and bool(_DECLINES.search(unquoted))
 
 
-def _refusal(answer: str, values: set[str], shared: bool) -> tuple[int, ...]:
+def asks_back(unquoted: str) -> bool:
+    """Whether ``_ASKS_BACK`` finds something, by way of its marks likewise."""
+    low = _caseless(unquoted)
+    return any(m in low for m in _ASK_MARKS) and bool(_ASKS_BACK.search(unquoted))
+
+
+def _refusal(source: str, answer: str, values: set[str], shared: bool) -> tuple[int, ...]:
     unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
-    return 1 if declines(unquoted) else -1, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if _ASKS.search(unquoted) else 0
+    asks = asks_back(unquoted) and not _SOURCE_ASKS.search(source)
+    refuses = asks or declines(unquoted)
+    return 1 if refuses else -1, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if asks or _ASKS.search(unquoted) else 0
 
 
 def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool) -> tuple[tuple[int, ...], ...]:
@@ -117,7 +148,7 @@ def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool)
     han = bool(_HAN.search(answer))
     values = set(_VALUE.findall(source))
     told = set(_VALUE.findall(answer)) if values else set()
-    refusal = _refusal(answer, values, bool(values & told))
+    refusal = _refusal(source, answer, values, bool(values & told))
     other = len(_OTHER_SCRIPT.findall(answer))
     wrapped = source.replace("-\n", "")
     same = kept = False

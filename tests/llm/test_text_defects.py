@@ -110,6 +110,42 @@ def test_refusals_that_hold_han_characters(answer):
     assert kept_defects(SOURCE, answer) == ["refusal"]
 
 
+ASK_BACKS = [
+    "请提供更多上下文。", "请问您指的是哪个阀？", "需要更多上下文才能继续。", "请粘贴需要翻译的文本。", "Please supply more context.", "Could you clarify which pump KX-1234 is meant?", "What do you mean by tag?", "Please provide the text you want me to translate.",
+    "Bitte geben Sie mehr Kontext an.", "Welches Ventil meinen Sie?", "Veuillez fournir plus de contexte.", "Pourriez-vous préciser la phrase ?", "Por favor, proporcione más contexto.", "Serve più contesto.", "Forneça mais contexto, por favor.",
+    "Пожалуйста, уточните, о каком клапане идёт речь.", "Нужно больше контекста.", "文脈をもう少し教えてください。", "翻訳したい文章を入力してください。", "문맥을 더 알려 주세요.",
+]
+
+
+@pytest.mark.parametrize("answer", ASK_BACKS)
+def test_bare_ask_backs_are_refusals(answer):
+    assert kept_defects(SOURCE, answer) == ["refusal"]
+
+
+@pytest.mark.parametrize(
+    ("source", "answer"),
+    [
+        ("Please provide more details of the fault to the maker of the pump.", "请提供更多故障细节给泵的制造商。"), ("The context of the fault must be given in the report.", "报告中必须给出故障的上下文。"),
+        ("Consult the maker before the valve is opened.", "打开阀门前请咨询制造商。"), ("The screen asks which valve is meant.", "屏幕显示“请问您指的是哪个阀？”字样。"),
+    ],
+)
+def test_translated_requests_are_no_refusals(source, answer):
+    assert kept_defects(source, answer) == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.from_regex(D._ASKS_BACK))
+def test_marks_leave_no_ask_back_out(text):
+    assert D.asks_back(text)
+
+
+def test_label_model_on_bare_ask_backs(spark):
+    rows = [(i, SOURCE, ASK_BACKS[i // 40 % len(ASK_BACKS)] if i % 40 == 0 else ANSWER, False, True) for i in range(800)]
+    df = spark.createDataFrame(rows, "pair_id bigint, source_text string, answer string, cut boolean, source_stops boolean")
+    got = {x.pair_id: x.defect for x in D.main_defect(D.defects(D.voted(df))).collect()}
+    assert got == dict.fromkeys(range(0, 800, 40), "refusal")
+
+
 def test_copies_that_hold_han_characters():
     source = "Press the key marked 停止 before the left pump is removed."
     assert kept_defects(source, source.upper()) == ["copied"]
