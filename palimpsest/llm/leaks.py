@@ -1,7 +1,8 @@
 """Evaluation texts leaking into a corpus, wholly or in part.
 
-Items and documents are cut into windows of ``window`` words.  A window's
-words walk through a CGK embedding: at each of 3 * window steps the current
+Items are cut into windows of ``window`` words, documents into windows of up to
+``max_edits`` words less or more, as words may be left out or added.  A window's
+words walk through a CGK embedding: at each of three steps a word the current
 word is written and, by a hashed coin of (step, word), the walk stays or moves
 on; equal coins for all windows turn few edits into few differing places.
 Windows meet by keys over sampled places, in as many repetitions as the target
@@ -39,13 +40,14 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def cgk(windows: np.ndarray, seed: int = 3) -> np.ndarray:
-    """The embedding of each row of word hashes, three times as long as the row."""
+def cgk(windows: np.ndarray, steps: int | None = None, seed: int = 3) -> np.ndarray:
+    """The embedding of each row of word hashes in ``steps`` places, by default three times as long as the row."""
     n, size = windows.shape
     padded = np.concatenate((windows, np.full((n, 1), _END)), axis=1)
+    steps = 3 * size if steps is None else steps
     rows, at = np.arange(n), np.zeros(n, np.int64)
-    out = np.empty((n, 3 * size), U)
-    for step in range(3 * size):
+    out = np.empty((n, steps), U)
+    for step in range(steps):
         word = padded[rows, at]
         out[:, step] = word
         coin = mix(word ^ U((step + 1) * 0x9E3779B97F4A7C15 + seed & (2**64 - 1))) >> U(63)
@@ -67,13 +69,15 @@ def repetitions(window: int, max_edits: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def sampled_keys(embedded: np.ndarray, reps: int, seed: int = 11) -> np.ndarray:
+def sampled_keys(windows: np.ndarray, steps: int, reps: int, seed: int = 11) -> np.ndarray:
+    """A key over sampled places per window and repetition, each of a walk of its own, as a walk that never meets again fails in all its places."""
     draw = np.random.default_rng(seed)
-    keys = np.empty((len(embedded), reps), U)
+    keys = np.empty((len(windows), reps), U)
     with np.errstate(over="ignore"):
         for r in range(reps):
-            acc = np.full(len(embedded), U(r + 1) * GOLD)
-            for place in draw.choice(embedded.shape[1], SAMPLED, replace=False):
+            embedded = cgk(windows, steps, 3 + r * 0xD1B54A32D192ED03)
+            acc = np.full(len(windows), U(r + 1) * GOLD)
+            for place in draw.choice(steps, SAMPLED, replace=False):
                 acc = mix(acc + embedded[:, place])
             keys[:, r] = acc
     return keys
@@ -109,7 +113,7 @@ def _windows(texts: list[str | None], window: int, known: np.ndarray | None, max
     return owner, found
 
 
-def _windowed(window: int, max_edits: int, reps: int, bitmap):
+def _windowed(sizes: range, max_edits: int, reps: int, steps: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
         for b in batches:
@@ -120,19 +124,20 @@ def _windowed(window: int, max_edits: int, reps: int, bitmap):
                 while hi < len(texts) and chars < BLOCK_CHARS:
                     chars += len(texts[hi] or "")
                     hi += 1
-                owner, win = _windows(texts[lo:hi], window, known, max_edits)
-                if len(owner):
-                    keys = sampled_keys(cgk(win), reps)
-                    n = len(owner) * reps
-                    words = np.repeat(win, reps, axis=0).reshape(-1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(ids[lo:hi][owner], reps), pa.int64()),
-                            pa.array(keys.reshape(-1).view(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * window), pa.array(words)),
-                        ],
-                        ["id", "key", "words"],
-                    )
+                for window in sizes:
+                    owner, win = _windows(texts[lo:hi], window, known, max_edits)
+                    if len(owner):
+                        keys = sampled_keys(win, steps, reps)
+                        n = len(owner) * reps
+                        words = np.repeat(win, reps, axis=0).reshape(-1).view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.repeat(ids[lo:hi][owner], reps), pa.int64()),
+                                pa.array(keys.reshape(-1).view(np.int64)),
+                                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * window), pa.array(words)),
+                            ],
+                            ["id", "key", "words"],
+                        )
                 lo = hi
 
     return run
@@ -175,9 +180,9 @@ def _verified(most: int):
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, max_edits: int = 0, recall: float = 0.99) -> DataFrame:
-    """(doc_id, item_id), each once: documents holding a window of the item's words within ``max_edits`` edits.
+    """(doc_id, item_id), each once: documents holding a window of the item's words within ``max_edits`` words added, left out or changed.
 
-    Null and empty texts, texts under ``window`` words and rows without an id hold no window.
+    Null and empty texts, rows without an id, items under ``window`` words and documents under ``window - max_edits`` hold no window.
     Items that share words each count.  With ``max_edits`` 0 nothing is missed.
     """
     spark = docs.sparkSession
@@ -189,8 +194,9 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     reps = repetitions(window, max_edits, recall)
     kind = "id bigint, key bigint, words array<bigint>"
-    left = doc_rows.mapInArrow(_windowed(window, max_edits, reps, bitmap), kind).select(F.col("id").alias("doc_id"), "key", "words")
-    right = item_rows.mapInArrow(_windowed(window, 0, reps, None), kind).select(F.col("id").alias("item_id"), "key", F.col("words").alias("item_words")).distinct()
+    sizes, steps = range(max(1, window - max_edits), window + max_edits + 1), 3 * (window + max_edits)
+    left = doc_rows.mapInArrow(_windowed(sizes, max_edits, reps, steps, bitmap), kind).select(F.col("id").alias("doc_id"), "key", "words")
+    right = item_rows.mapInArrow(_windowed(range(window, window + 1), 0, reps, steps, None), kind).select(F.col("id").alias("item_id"), "key", F.col("words").alias("item_words")).distinct()
     met = left.join(right, "key")
     if max_edits:
         return met.select("doc_id", "item_id", "words", "item_words").distinct().mapInArrow(_verified(max_edits), "doc_id bigint, item_id bigint").distinct()

@@ -128,6 +128,31 @@ def test_leaks_against_brute_force(spark):
     assert L.leaks(ddf.limit(0), "doc_id", "text", idf.limit(0), "item_id", "text").count() == 0
 
 
+def test_leaks_with_a_word_added_left_out_or_changed(spark):
+    r = random.Random(9)
+    items = [(i, " ".join(r.choices(WORDS[:60], k=25))) for i in range(12)]
+    docs = []
+    for d in range(120):
+        i, at = r.randrange(12), r.randrange(15)
+        w = items[i][1].split()[at : at + 10]
+        place = 2 + r.randrange(6)
+        w[place : place + (d % 3 > 0)] = [] if d % 3 == 1 else [f"other{d}"]
+        if d % 5 == 0 and d % 2:  # two edits
+            w[0:1] = ["otherwise", "added"]
+        docs.append((d, " ".join(w if d % 7 == 0 else [*r.choices(WORDS[200:], k=12), *w, *r.choices(WORDS[200:], k=12)])))
+    hashes = {x: k for k, x in enumerate({w for _, t in docs + items for w in t.split()})}
+    cut = lambda t, n: [tuple(hashes[x] for x in t.split()[a : a + n]) for a in range(len(t.split()) - n + 1)]
+    tens = [(i, b) for i, t in items for b in cut(t, 10)]
+    # at most one edit leaves four of ten words alike in place from the front or the back
+    close = lambda a, b: a[:4] == b[:4] or a[-4:] == b[-4:]
+    truth = {(d, i) for d, t in docs for n in (9, 10, 11) for a in cut(t, n) for i, b in tens if close(a, b) and L.within_edits(np.array(a), np.array(b), 1)}
+    ddf, idf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = [tuple(x) for x in L.leaks(ddf, "doc_id", "text", idf, "item_id", "text", max_edits=1).collect()]
+    assert len(got) == len(set(got)) and set(got) <= truth and len(got) >= 0.97 * len(truth)
+    for kind in range(3):
+        assert sum(d % 3 == kind for d, _ in truth) > 25
+
+
 def test_packing_is_whole_and_tight(spark):
     r = random.Random(4)
     lengths = [r.choice([0, 3, 8, 40, 200, 600, 900, 1500, 1800, 4000]) for _ in range(700)]
