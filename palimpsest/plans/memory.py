@@ -79,6 +79,12 @@ def prompt_records(spark: SparkSession, root: str) -> DataFrame:
     return M.prompts(p)
 
 
+@query()
+def prompt_records_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Prompt records of all segments left to translate, seeded ones with the old pair, whatever their texts hold."""
+    return M.prompts(_plan(spark, root))
+
+
 @query(f"""WITH {V}, o AS (SELECT segment_id, text, status, revision FROM translations QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY revision, id) = 1),
 n AS (SELECT segment_id, text, status FROM translations QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY revision DESC, id DESC) = 1)
 SELECT segment_id, coalesce(n.text, '') AS text, n.status, CASE WHEN coalesce(n.text, '') <> coalesce(o.text, '') THEN coalesce(o.revision, 1) + 1 ELSE o.revision END::INTEGER AS revision FROM o JOIN n USING (segment_id)""")
