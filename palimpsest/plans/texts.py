@@ -32,6 +32,13 @@ def derived_columns(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", normalize_col(c).alias("normalized"), fingerprint_col(c).alias("fingerprint"), content_hash_col(c).alias("content_hash"))
 
 
+@query()
+def derived_columns_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Normal form, fingerprint and content hash derived for every segment, stored or not."""
+    c = F.col("canonical_text")
+    return segments(spark, root, "canonical_text").select("id", normalize_col(c).alias("normalized"), fingerprint_col(c).alias("fingerprint"), content_hash_col(c).alias("content_hash"))
+
+
 @query(r"""SELECT doc_id, length(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS n, md5(lower(trim(regexp_replace(text, '[\s]+', ' ', 'g')))) AS print FROM documents WHERE regexp_matches(text, '^[\x20-\x5f\x61-\x7e\t\n\r]+$')""")
 def normalized_native(spark: SparkSession, root: str) -> DataFrame:
     """The normal form inside codegen, on documents in ASCII."""
@@ -40,6 +47,14 @@ def normalized_native(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", F.char_length(n).cast("bigint").alias("n"), F.md5(F.lower(n)).alias("print"))
 
 
+@query()
+def normalized_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The normal form of every document: inside codegen where the text is ASCII, by Python where NFKC may change it."""
+    ascii_ = F.col("text").rlike("^[\\x20-\\x7e\\t\\n\\r]*$")
+    n = F.coalesce(F.when(ascii_, normalize_native(F.col("text"))), normalize_col(F.when(~ascii_, F.col("text"))))
+    return table(spark, root, "documents").select("doc_id", n.alias("t")).select("doc_id", F.char_length("t").cast("bigint").alias("n"), F.md5(F.lower("t")).alias("print"))
+
+
 _KIND = """CASE WHEN regexp_matches(t, '^(•|-|\\*|\\([0-9a-z]{1,2}\\)|[0-9]{1,2}\\))[ ]') THEN 'list_item' WHEN regexp_matches(t, '^(Figure|Table|Fig\\.) [0-9]+(-[0-9]+)?') THEN 'caption'
 WHEN regexp_matches(t, '^[0-9]+(\\.[0-9]+)+ [A-Z]') THEN 'heading' WHEN regexp_matches(t, '[.·]{4,} *[0-9-]+$') THEN 'toc' WHEN regexp_matches(t, '^[0-9]+([.,][0-9]+)? ?[A-Za-z/%]{1,4}$') THEN 'number_unit' ELSE 'text' END"""
 
@@ -121,6 +136,14 @@ def label_forms(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", X.upper_alnum(t).alias("label"), X.is_code_like(t).alias("code_like"), X.label_bucket(t).alias("bucket"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
 
 
+@query()
+def label_forms_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The same for every segment, whatever its characters."""
+    t, rgb = F.col("text"), X.int_to_rgb(F.col("style.color"))
+    rows = segments(spark, root, "text", "style").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("id", X.upper_alnum(t).alias("label"), X.is_code_like(t).alias("code_like"), X.label_bucket(t).alias("bucket"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
+
+
 @query()
 def script_run_counts(spark: SparkSession, root: str) -> DataFrame:
     """Runs of one script in current translations, by kind."""

@@ -84,3 +84,29 @@ def test_columns_on_nulls(spark):
     assert rows[1].n == "A b" and rows[1].r < 1.0
     native = spark.createDataFrame([("a— b  c …",)], "x string").select(T.normalize_native(F.col("x")).alias("n")).first().n
     assert native == T.normalize("a— b  c …")
+
+
+def test_whole_text_queries_against_python(spark, tmp_path):
+    import hashlib
+    import re
+
+    from palimpsest.plans import texts as Q
+
+    texts = [None, "", " \t\n", "plain  text", "`q` it's", "“x”—‘y’…", "ＡＢ ﬁne", "½ ① é é", "zero​width", "中文，句子。", "KX-1", "Δp 10°", "Drain the left pump now.", "tail\n", "A B", "PUMP é", "ÄB-9"]
+    style = "struct<bold:boolean,italic:boolean,size:double,color:int,align:string,list_level:int,indent:double>"
+    rows = [(i, t, t, None if i % 2 else "stored", None if i % 3 else "stored", None, (True, False, 9.0, 0x102030 + i, None, 0, 0.0)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, f"id bigint, text string, canonical_text string, normalized string, fingerprint string, content_hash string, style {style}").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    run = lambda name: {r[0]: tuple(r)[1:] for r in Q.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("derived_columns_whole") == {i: (T.normalize(t), T.fingerprint(t), T.content_hash(t)) for i, t in enumerate(texts)}
+    assert run("normalized_whole") == {i: (len(T.normalize(t)), hashlib.md5(T.normalize(t).lower().encode()).hexdigest()) for i, t in enumerate(texts)}
+
+    def form(t):
+        t = t or ""
+        letters, bare = re.sub("[^A-Za-z]", "", t), t.strip(" ")
+        code = bool(re.search("[0-9]", t)) or (letters != "" and letters == letters.upper())
+        bucket = "code" if len(bare) <= 8 and re.fullmatch("[A-Z0-9-]+\n?", bare) else "sentence" if len(re.split(" +", bare)) >= 5 and re.search("[.!?]$", bare) else "other"
+        return re.sub("[^A-Z0-9]", "", t.upper()), code, bucket
+
+    assert run("label_forms_whole") == {i: (*form(t), 0x10, 0x20, 0x30 + i) for i, t in enumerate(texts)}
