@@ -44,8 +44,8 @@ FROM s LEFT JOIN c ON c.segment_id = s.id LEFT JOIN k ON k.fingerprint = s.finge
 p AS (SELECT id, version_id, text, old_id, CASE WHEN coalesce(own, false) THEN 'cached' WHEN role <> 'body' OR trivial THEN 'carried_verbatim' WHEN coalesce(held, false) THEN 'carried' WHEN coalesce(seed, false) THEN 'seeded' ELSE 'machine' END AS action FROM x)"""
 
 
-def _plan(spark: SparkSession, root: str) -> DataFrame:
-    s = segments(spark, root, "version_id", "role", "text", "fingerprint")
+def _plan(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
+    s = segments(spark, root, "version_id", "role", "text", "fingerprint", derive=derive)
     return M.plan(s, current(spark, root, "text").select(F.col("segment_id").alias("id"), "text"), cache(spark, root).select("fingerprint", "text"), _links(spark, root))
 
 
@@ -82,7 +82,13 @@ def prompt_records(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def prompt_records_whole(spark: SparkSession, root: str) -> DataFrame:
     """Prompt records of all segments left to translate, seeded ones with the old pair, whatever their texts hold."""
-    return M.prompts(_plan(spark, root))
+    return M.prompts(_plan(spark, root, derive=True))
+
+
+@query()
+def translation_plan_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The plan with derived fingerprints where none is stored."""
+    return _plan(spark, root, derive=True).select("id", "version_id", "action", "reuse_of")
 
 
 @query(f"""WITH {V}, o AS (SELECT segment_id, text, status, revision FROM translations QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY revision, id) = 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,9 @@ n AS (SELECT new_v AS step, fingerprint, id, page, order_index, row_number() OVE
 a AS (SELECT coalesce(o.step, n.step) AS step, o.id AS old_id, n.id AS new_id, o.page AS old_page, n.page AS new_page, o.order_index AS old_order, n.order_index AS new_order FROM o FULL JOIN n ON o.step = n.step AND o.fingerprint = n.fingerprint AND o.k = n.k)"""
 
 
-def _anchored(spark: SparkSession, root: str) -> DataFrame:
+def _anchored(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     steps = version_steps(spark, root)
-    rows = body(spark, root, "version_id", "fingerprint", "page", "order_index").filter("fingerprint IS NOT NULL")
+    rows = body(spark, root, "version_id", "fingerprint", "page", "order_index", derive=derive).filter("fingerprint IS NOT NULL")
     side = lambda c: steps.select(F.col(c).alias("version_id"), F.col("to_version").alias("step")).join(rows, "version_id").drop("version_id")
     return R.occurrence_anchors(side("from_version"), side("to_version"), "step", "fingerprint", ["order_index", "id"])
 
@@ -82,9 +84,9 @@ def _anchored(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""{_ANCHORS}, r AS (SELECT *, row_number() OVER (PARTITION BY step, old_page ORDER BY old_order, old_id) AS was, row_number() OVER (PARTITION BY step, old_page ORDER BY new_order, new_id) AS now FROM a WHERE old_page = new_page),
 k AS (SELECT step, 'reordered' AS change_kind FROM r WHERE now < was UNION ALL SELECT step, 'unchanged' FROM r WHERE now >= was UNION ALL SELECT step, 'moved' FROM a WHERE old_page <> new_page
 UNION ALL SELECT step, 'removed' FROM a WHERE new_id IS NULL UNION ALL SELECT step, 'added' FROM a WHERE old_id IS NULL) SELECT step AS to_version, change_kind, count(*) AS n FROM k GROUP BY ALL""")
-def diff_counts_relational(spark: SparkSession, root: str) -> DataFrame:
+def diff_counts_relational(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Changes by equal text and occurrence alone: the relational tier of the alignment."""
-    a = _anchored(spark, root)
+    a = _anchored(spark, root, derive)
     paired = a.filter("old_page = new_page")
     rank = lambda *by: F.row_number().over(Window.partitionBy("step", "old_page").orderBy(*by))
     same_page = paired.withColumns({"was": rank("old_order_index", "old_id"), "now": rank("new_order_index", "new_id")}).select("step", F.when(F.col("now") < F.col("was"), "reordered").otherwise("unchanged").alias("change_kind"))
@@ -94,9 +96,9 @@ def diff_counts_relational(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""{_ANCHORS}, x AS (SELECT step, old_id, old_order, new_id, new_order FROM a WHERE old_id IS NOT NULL)
 SELECT step AS to_version, old_id, coalesce(next_order - 0.5, 1000000000.0)::DOUBLE AS slot FROM (SELECT *, first_value(new_order IGNORE NULLS) OVER (PARTITION BY step ORDER BY old_order, old_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_order FROM x) WHERE new_id IS NULL""")
-def removed_slots(spark: SparkSession, root: str) -> DataFrame:
+def removed_slots(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Where a removed row would stand: just before the next surviving one."""
-    a = _anchored(spark, root).filter("old_id IS NOT NULL")
+    a = _anchored(spark, root, derive).filter("old_id IS NOT NULL")
     after = Window.partitionBy("step").orderBy("old_order_index", "old_id").rowsBetween(1, Window.unboundedFollowing)
     w = a.withColumn("next_order", F.first("new_order_index", ignorenulls=True).over(after)).filter("new_id IS NULL")
     return w.select(F.col("step").alias("to_version"), "old_id", F.coalesce(F.col("next_order") - 0.5, F.lit(1000000000.0)).cast("double").alias("slot"))
@@ -194,3 +196,8 @@ def version_bundle(spark: SparkSession, root: str) -> DataFrame:
     rows = segments(spark, root, "version_id", "page", "order_index")
     pages = rows.groupBy("version_id", "page").agg(F.sort_array(F.collect_list(F.struct("order_index", "id"))).alias("r"), F.count(F.lit(1)).alias("n"))
     return pages.select("version_id", "page", F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("ids"), "n")
+
+
+# The same over all rows, without SQL: where the stored fingerprint is null the derived one stands for it.
+for _f in (diff_counts_relational, removed_slots):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, derive=True)

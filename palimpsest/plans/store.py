@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as X
+from palimpsest.functions.text import stored_or_fingerprint
 from palimpsest.operators import relational as R
 from palimpsest.sources.tables import current_rows, once, table
 
 STATUSES = ("machine", "carried", "seeded", "reviewed", "missing", "failed")
 
 
-def segments(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Segments, each once."""
-    return once(table(spark, root, "segments").select("id", *(c for c in columns if c != "id")))
+def _derived(df: DataFrame) -> DataFrame:
+    return df.withColumn("fingerprint", stored_or_fingerprint())
+
+
+def segments(spark: SparkSession, root: str, *columns: str, derive: bool = False) -> DataFrame:
+    """Segments, each once; with ``derive`` a null fingerprint is derived from the text."""
+    df = table(spark, root, "segments")
+    return once((_derived(df) if derive else df).select("id", *(c for c in columns if c != "id")))
 
 
-def body(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    return once(table(spark, root, "segments").filter("role = 'body'").select("id", *(c for c in columns if c != "id")))
+def body(spark: SparkSession, root: str, *columns: str, derive: bool = False) -> DataFrame:
+    df = table(spark, root, "segments").filter("role = 'body'")
+    return once((_derived(df) if derive else df).select("id", *(c for c in columns if c != "id")))
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
@@ -68,9 +77,9 @@ def query(sql: str | None = None):
 
 @query(f"""WITH {B} SELECT fingerprint, count(*) AS n, min(id) AS first_id, count(DISTINCT version_id) AS n_versions
 FROM s WHERE fingerprint IS NOT NULL GROUP BY fingerprint HAVING count(*) > 1""")
-def fingerprint_dups(spark: SparkSession, root: str) -> DataFrame:
+def fingerprint_dups(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Body fingerprints that recur."""
-    rows = body(spark, root, "fingerprint", "version_id").filter("fingerprint IS NOT NULL")
+    rows = body(spark, root, "fingerprint", "version_id", derive=derive).filter("fingerprint IS NOT NULL")
     per_version = rows.groupBy("fingerprint", "version_id").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"))
     return per_version.groupBy("fingerprint").agg(F.sum("m").alias("n"), F.min("lo").alias("first_id"), F.count(F.lit(1)).alias("n_versions")).filter("n > 1")
 
@@ -164,22 +173,23 @@ def links_disjunctive(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"WITH {B}, {M} SELECT s.id, k.provider, k.created_at FROM s JOIN k USING (fingerprint) WHERE {SEEN('k.text')}")
-def cache_lookup(spark: SparkSession, root: str) -> DataFrame:
+def cache_lookup(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Body segments whose fingerprint the translation memory holds."""
     hit = cache(spark, root).filter(~X.is_blank(F.col("text"))).select("fingerprint", "provider", "created_at")
-    return body(spark, root, "fingerprint").join(hit, "fingerprint").select("id", "provider", "created_at")
+    return body(spark, root, "fingerprint", derive=derive).join(hit, "fingerprint").select("id", "provider", "created_at")
 
 
 @query(f"""WITH {B}, {V}, p AS (SELECT version_id AS old_v, lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_no, version_id) AS new_v FROM v WHERE version_id IN (SELECT version_id FROM segments)),
 x AS (SELECT DISTINCT new_v, fingerprint, 1 AS side FROM p JOIN s ON s.version_id = old_v WHERE new_v IS NOT NULL UNION ALL SELECT DISTINCT new_v, fingerprint, 2 FROM p JOIN s ON s.version_id = new_v)
 SELECT new_v AS to_version, count(*) FILTER (WHERE m = 1) AS n_gone, count(*) FILTER (WHERE m = 2) AS n_fresh, count(*) FILTER (WHERE m = 3) AS n_kept
 FROM (SELECT new_v, fingerprint, sum(side) AS m FROM x WHERE fingerprint IS NOT NULL GROUP BY ALL) GROUP BY new_v""")
-def fp_set_difference(spark: SparkSession, root: str) -> DataFrame:
+def fp_set_difference(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Fingerprints gone, fresh and kept from version to version (J18, set operations)."""
     from palimpsest.plans.changes import version_steps
 
     steps = version_steps(spark, root)
-    prints = table(spark, root, "segments").filter("role = 'body' AND fingerprint IS NOT NULL").select("version_id", "fingerprint").distinct()
+    rows = table(spark, root, "segments").filter("role = 'body'")
+    prints = (_derived(rows) if derive else rows).filter("fingerprint IS NOT NULL").select("version_id", "fingerprint").distinct()
     old = steps.join(prints.withColumnRenamed("version_id", "from_version"), "from_version").select("to_version", "fingerprint", F.lit(1).alias("side"))
     new = steps.join(prints.withColumnRenamed("version_id", "to_version"), "to_version").select("to_version", "fingerprint", F.lit(2).alias("side"))
     mask = old.unionAll(new).groupBy("to_version", "fingerprint").agg(F.sum("side").alias("m"))
@@ -192,12 +202,12 @@ f AS (SELECT new_v, fingerprint, min(old_id) AS old_id FROM o WHERE fingerprint
 SELECT s.id AS new_id, coalesce(a.old_id, f.old_id) AS old_id, CASE WHEN a.old_id IS NOT NULL THEN 'place' ELSE 'fingerprint' END AS tier
 FROM p JOIN s ON s.version_id = p.new_v LEFT JOIN o a ON a.new_v = p.new_v AND a.page = s.page AND a.order_index = s.order_index AND a.fingerprint = s.fingerprint
 LEFT JOIN f ON f.new_v = p.new_v AND f.fingerprint = s.fingerprint WHERE coalesce(a.old_id, f.old_id) IS NOT NULL""")
-def migrate_coalesce(spark: SparkSession, root: str) -> DataFrame:
+def migrate_coalesce(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Old counterparts of new segments: equal place and text first, equal text else (J09 tiers 1-2, J10, J11)."""
     from palimpsest.plans.changes import version_steps
 
     steps = version_steps(spark, root)
-    s = body(spark, root, "version_id", "page", "order_index", "fingerprint").filter("fingerprint IS NOT NULL")
+    s = body(spark, root, "version_id", "page", "order_index", "fingerprint", derive=derive).filter("fingerprint IS NOT NULL")
     old = steps.join(s.withColumnRenamed("version_id", "from_version"), "from_version")
     by_place = old.groupBy("to_version", "page", "order_index", "fingerprint").agg(F.min("id").alias("at_place"))
     by_text = by_place.groupBy("to_version", "fingerprint").agg(F.min("at_place").alias("by_text"))
@@ -282,9 +292,9 @@ def provider_statuses(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"WITH {B} SELECT version_id, count(*) AS n, count(DISTINCT fingerprint) AS n_distinct FROM s GROUP BY version_id")
-def distinct_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+def distinct_fingerprints(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Rows against distinct fingerprints per version."""
-    return body(spark, root, "version_id", "fingerprint").groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fingerprint").alias("n_distinct"))
+    return body(spark, root, "version_id", "fingerprint", derive=derive).groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fingerprint").alias("n_distinct"))
 
 
 @query(f"WITH {B}, {C} SELECT s.version_id, max(c.revision) || ':' || count(c.id) AS revision_key FROM s JOIN c ON c.segment_id = s.id GROUP BY s.version_id")
@@ -319,9 +329,9 @@ def page_context(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH {S}, {V}, h AS (SELECT version_id, fingerprint, count(DISTINCT page) AS n_pages FROM s WHERE role <> 'body' AND fingerprint IS NOT NULL GROUP BY ALL)
 SELECT version_id, fingerprint, n_pages FROM h JOIN v USING (version_id) WHERE n_pages > 0.8 * page_count""")
-def running_heads(spark: SparkSession, root: str) -> DataFrame:
+def running_heads(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
     """Texts outside the body that stand on more than four fifths of a version's pages."""
-    heads = segments(spark, root, "version_id", "fingerprint", "page", "role").filter("role <> 'body' AND fingerprint IS NOT NULL")
+    heads = segments(spark, root, "version_id", "fingerprint", "page", "role", derive=derive).filter("role <> 'body' AND fingerprint IS NOT NULL")
     per = heads.select("version_id", "fingerprint", "page").distinct().groupBy("version_id", "fingerprint").agg(F.count(F.lit(1)).alias("n_pages"))
     return per.join(versions(spark, root).select("version_id", "page_count"), "version_id").filter("n_pages > 0.8 * page_count").drop("page_count")
 
@@ -355,3 +365,8 @@ def cache_drift(spark: SparkSession, root: str) -> DataFrame:
     t = translations(spark, root).select(F.col("segment_id").alias("id"), "status", "text")
     joined = t.join(segments(spark, root, "fingerprint"), "id").join(cache(spark, root).select("fingerprint", F.col("text").alias("kept")), "fingerprint")
     return joined.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == F.col("kept")).alias("n_same"), F.count_if(F.col("text") != F.col("kept")).alias("n_drifted"))
+
+
+# The same over all rows, without SQL: where the stored fingerprint is null the derived one stands for it.
+for _f in (fingerprint_dups, cache_lookup, fp_set_difference, migrate_coalesce, distinct_fingerprints, running_heads):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, derive=True)

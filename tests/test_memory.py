@@ -122,7 +122,7 @@ def test_prompt_records_of_the_whole_plan(spark, root, monkeypatch):
         (1, "machine", "plain", None), (2, "seeded", "Drain the pump.", "排空泵。"), (3, "machine", 'say "ON" / \\ off', None), (4, "machine", "wrapped-\nline\ttab", None), (5, "seeded", "Δp é 10°", "压差“é”\n10°"),
         (6, "machine", None, None), (7, "cached", "left out", None), (8, "carried", "left out", None), (9, "carried_verbatim", "7", None), (10, "machine", "", None),
     ]
-    monkeypatch.setattr(Q, "_plan", lambda spark, root: spark.createDataFrame(rows, "id bigint, action string, text string, seed string"))
+    monkeypatch.setattr(Q, "_plan", lambda spark, root, derive: spark.createDataFrame(rows, "id bigint, action string, text string, seed string"))
     got = [tuple(r) for r in Q.QUERIES["prompt_records_whole"](spark, root).collect()]
     record = lambda i, en, zh: json.dumps({k: v for k, v in (("id", i), ("en", en), ("prev_zh", zh)) if v is not None}, ensure_ascii=False, separators=(",", ":"))
     assert sorted(got) == sorted((i, record(i, en, zh)) for i, action, en, zh in rows if action in ("machine", "seeded"))

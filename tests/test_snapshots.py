@@ -73,3 +73,20 @@ def test_prefix_and_short_sets():
     assert least_prefix(10, 0.3) == 8 and least_prefix(1, 0.3) == 1 and least_prefix(10, 1.0) == 1
     _, at = shingle_sets(["a b", "a b c", "", "a b c d", "A B C"])
     assert [int(b - a) for a, b in zip(at, at[1:], strict=False)] == [1, 1, 1, 2, 1]
+
+
+def test_null_fingerprints_count_by_their_text(spark, root, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions.text import stored_or_fingerprint
+    from palimpsest.plans import catalogue
+
+    stored = spark.read.parquet(f"{root}/segments.parquet").withColumn("fingerprint", stored_or_fingerprint())
+    roots = {"all": stored, "gaps": stored.withColumn("fingerprint", F.when(F.col("id") % 3 > 0, F.col("fingerprint")))}
+    for name, df in roots.items():
+        df.write.parquet(f"{tmp_path}/{name}/segments.parquet")
+        for t in ("document_versions", "translations", "translation_cache"):
+            (tmp_path / name / f"{t}.parquet").symlink_to(f"{root}/{t}.parquet")
+    for q in ("fingerprint_dups", "cache_lookup", "fp_set_difference", "migrate_coalesce", "distinct_fingerprints", "running_heads", "diff_counts_relational", "removed_slots", "translation_plan"):
+        want = sorted(map(str, catalogue.QUERIES[q](spark, f"{tmp_path}/all").collect()))
+        assert sorted(map(str, catalogue.QUERIES[f"{q}_whole"](spark, f"{tmp_path}/gaps").collect())) == want, q
