@@ -48,11 +48,12 @@ def modified_texts(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def restored_translations(spark: SparkSession, root: str) -> DataFrame:
-    """A backup of all current answers put back onto re-extracted segments, those of an edit rule."""
-    s = segments(spark, root, "version_id", "page", "order_index", "fingerprint", "canonical_text", "text")
-    saved = backup_rows(s, current(spark, root, "text", "status", "provider", "model", "confidence", "reviewed_by"))
-    again = s.filter(F.col("order_index") % 97 != 13)
-    return O.restore(saved, again).select("version_id", "segment_id", "tier", "status", "revision")
+    """A backup of each version's current answers put back onto its next version, all rows."""
+    s = segments(spark, root, "version_id", "page", "order_index", "fingerprint", "canonical_text", "text", derive=True)
+    steps = version_steps(spark, root).select(F.col("from_version").alias("version_id"), "to_version")
+    before = s.join(steps, "version_id").withColumn("version_id", F.col("to_version")).drop("to_version")
+    saved = backup_rows(before, current(spark, root, "text", "status", "provider", "model", "confidence", "reviewed_by"))
+    return O.restore(saved, s).select("version_id", "segment_id", "tier", "status", "revision")
 
 
 @query()

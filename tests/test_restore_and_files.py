@@ -98,3 +98,15 @@ def test_hyphens_by_corpus_vocabulary(spark):
     df = spark.createDataFrame(rows, "id bigint, text string")
     got = {(r.id, r.at): (r.how, r.why) for r in decisions(df, vocabulary(df, "text")).collect()}
     assert got == {(1, 0): ("soft", "vocabulary"), (3, 0): ("hard", "compound"), (5, 0): ("hard", "capital or digit follows")}
+
+
+def test_restoring_onto_next_versions_leaves_no_place_out(spark, root):
+    from palimpsest.plans import catalogue
+    from palimpsest.plans.changes import version_steps
+    from palimpsest.plans.store import segments
+
+    got = catalogue.QUERIES["restored_translations"](spark, root).collect()
+    at = {r.id: r.order_index for r in segments(spark, root, "order_index").collect()}
+    assert {r.version_id for r in got} <= {r.to_version for r in version_steps(spark, root).collect()}
+    assert len({r.segment_id for r in got}) == len(got)
+    assert any(at[r.segment_id] is not None and at[r.segment_id] % 97 == 13 for r in got) and len({r.tier for r in got}) > 1
