@@ -3,22 +3,25 @@
 Two kinds of evidence, both taken from the whole corpus:
 
 * Spikes.  Per column and source, histograms of the lengths (in characters and
-  in bytes) of texts that end without a stop.  A limit shows as a length at
-  the upper end that many more of these texts have than any neighbour.
-* Endings.  Every whole sentence adds to statistics of how sentences that
+  in bytes) of the different texts that end without a stop.  A limit shows as a
+  length that many more of them have than the lengths around it.  A text at a
+  spike that ends without a stop was cut there, whatever its ending looks like.
+  A source may have lost its limit later, so longer texts may exist: the
+  maximum looked for is that of the surroundings, not of the column.
+* Endings, for transfers that broke at any length, which leave no spike.  Every whole sentence adds to statistics of how sentences that
   begin in a certain way end: (opening words, number of commas, last word).
   A last fragment without a stop whose ending whole sentences share lacks only
   the stop; one whose opening mostly stands without a stop (references, labels,
   lead-ins) is complete if it ends the way those do.  Any other stops inside a
   sentence.
 
-A text is cut if it ends without a stop, nothing continues it, and its ending
-is not that of a complete sentence.  At a spike an ending needs more support
-to pass for complete, as the limit alone explains the missing stop.
+A text is cut if it ends without a stop, nothing continues it, and it stands at
+a spike or its ending is not that of a complete sentence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.sources.tables import stage
@@ -127,13 +130,13 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 refers = _REFERENCE.search(rest) and (_HAN.search(rest) or len(rest.split()) > 3)
                 mark = UNCLOSED if unclosed(rest) or _TRAILING_OFF.search(line) else LEAD_IN if refers or _LEAD_IN.search(rest) else MARKED if balanced(rest) else OPEN_ENDED
                 value = _TAIL_VALUE.search(rest)
-                out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(_mask(rest) if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode())))
+                out.append((column, row_id, source, _hash(o, c, k), _hash(o), _hash(c), mark, bool(_HAN.search(rest)), bool(whole) and len(_mask(rest) if _HAN.search(rest) else rest.split()) < LEAST_LABEL[bool(_HAN.search(rest))], value.group() if value else None, bool(_COMMAS.search(rest[-1:])), len(text), len(text.encode("utf-8", "surrogatepass")), _hash(text)))
         seen: Counter[tuple[int, int]] = Counter()
         for (o, c, k), times in shapes.items():
             seen[WHOLE_SHAPE, _hash(o, c, k)] += times
             seen[WHOLE_OPENING, _hash(o)] += times
             seen[WHOLE_CLOSING, _hash(c)] += times
-        cols = list(zip(*out, strict=True)) if out else [()] * 13
+        cols = list(zip(*out, strict=True)) if out else [()] * 14
         n, m = len(out), len(seen)
         signed = lambda xs: np.array(xs, np.uint64).view(np.int64)
         kinds = [k for k, _ in seen]
@@ -154,6 +157,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.concat_arrays([pa.array(cols[10], pa.bool_()), none(m, pa.bool_())]),
                 pa.concat_arrays([pa.array(cols[11], pa.int32()), none(m, pa.int32())]),
                 pa.concat_arrays([pa.array(cols[12], pa.int32()), none(m, pa.int32())]),
+                pa.concat_arrays([pa.array(signed(cols[13])), none(m, pa.int64())]),
                 pa.concat_arrays([none(n, pa.int32()), pa.array(kinds, pa.int32())]),
                 pa.concat_arrays([none(n, pa.int64()), pa.array(list(seen.values()), pa.int64())]),
             ],
@@ -161,7 +165,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-_ANALYSED = "column string, row_id bigint, source string, shape bigint, opening bigint, closing bigint, mark int, han boolean, stub boolean, tail_value string, comma boolean, n_chars int, n_bytes int, stat int, n bigint"
+_ANALYSED = "column string, row_id bigint, source string, shape bigint, opening bigint, closing bigint, mark int, han boolean, stub boolean, tail_value string, comma boolean, n_chars int, n_bytes int, name bigint, stat int, n bigint"
 
 
 def analysed(texts: DataFrame) -> DataFrame:
@@ -174,36 +178,56 @@ def open_ended(staged: DataFrame) -> DataFrame:
     return staged.filter("stat IS NULL").drop("stat", "n").dropDuplicates(["column", "row_id"])
 
 
-LEAST_SPIKE, SPIKE_SHARE, SPIKE_FACTOR = 5, 0.08, 8
+#: A limit has at least so many characters and texts, and so many times the texts of a mean length around it.
+LEAST_LIMIT, LEAST_SPIKE, SPIKE_FACTOR = 16, 12, 8
+#: Lengths within this ratio of a length are around it.
+AROUND = 1.25
+#: At most this share of the texts at a limit ends alike; texts of one pattern may have one length without any limit.
+ALIKE = 0.5
 
 
 def spikes(open_: DataFrame) -> DataFrame:
     """(column, source, unit, length, n, share): lengths at which a limit cuts.
 
-    A length is a spike if at least ``LEAST_SPIKE`` texts that end without a
-    stop have it, they are ``SPIKE_SHARE`` of all such texts of the source, and
-    ``SPIKE_FACTOR`` times the mean of the source's other lengths up to it.
-    The histogram has at most one row per source and length.
+    Counted are different texts that end without a stop, so that one text
+    repeated often makes no spike.  A length is a spike if it has at least
+    ``LEAST_SPIKE`` of them and ``SPIKE_FACTOR`` times as many as a mean length
+    around it (within ``AROUND``), and they do not all end alike.  A limit in
+    one unit is mirrored in the other; a text at a spike of both belongs to the
+    larger one, and a spike that keeps too few texts of its own is dropped.
+    ``n`` counts the texts that a spike keeps, ``share`` is their share of the
+    source's texts without a stop.  A null source is a source.
+    The histogram has at most one row per source, unit and length; a source's
+    lengths are what one task sorts.
     """
-    lengths = open_.select("column", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
-    histogram = lengths.groupBy("column", "source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
-    total = histogram.groupBy("column", "source", "unit").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("lengths"))
-    return (
-        histogram.alias("h")
-        .join(total.alias("t"), (F.col("h.column") == F.col("t.column")) & F.col("h.source").eqNullSafe(F.col("t.source")) & (F.col("h.unit") == F.col("t.unit")))
-        .select("h.column", "h.source", "h.unit", "h.length", "h.n", (F.col("h.n") / F.col("total")).alias("share"), ((F.col("total") - F.col("h.n")) / F.greatest(F.lit(1), F.col("lengths") - 1)).alias("others"))
-        .filter((F.col("n") >= LEAST_SPIKE) & (F.col("share") >= SPIKE_SHARE) & (F.col("n") >= SPIKE_FACTOR * F.col("others")))
-        .drop("others")
-    )
+    different = open_.select("column", "source", "name", "closing", "n_chars", "n_bytes").distinct()
+    lengths = different.select("column", "source", "closing", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("x"))
+    by_ending = lengths.groupBy("column", "source", "x.unit", "x.length", "closing").agg(F.count(F.lit(1)).alias("n"))
+    histogram = by_ending.groupBy("column", "source", "unit", "length").agg(F.sum("n").alias("n"), F.max("n").alias("alike"))
+    reach = round(math.log(AROUND) * 1e6)
+    of_source = Window.partitionBy("column", "source", "unit")
+    around = of_source.orderBy(F.round(F.ln("length") * 1e6).cast("bigint")).rangeBetween(-reach, reach)
+    n_lengths = F.floor(F.col("length") * AROUND) - F.ceil(F.col("length") / AROUND)
+    seen = histogram.filter("length > 0").select("*", F.sum("n").over(of_source).alias("total"), ((F.sum("n").over(around) - F.col("n")) / F.greatest(F.lit(1), n_lengths)).alias("mean"))
+    found = (F.col("length") >= LEAST_LIMIT) & (F.col("n") >= LEAST_SPIKE) & (F.col("n") >= SPIKE_FACTOR * F.col("mean")) & (F.col("alike") <= ALIKE * F.col("n"))
+    peaks = seen.filter(found)
+    rows = different
+    for unit in ("chars", "bytes"):
+        peak = peaks.filter(F.col("unit") == unit).select(F.col("column").alias("c"), F.col("source").alias("s"), F.col("length").alias("l"), F.struct("n", "unit", "length", "mean", "total").alias(unit))
+        rows = rows.join(peak, (F.col("column") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")) & (F.col(f"n_{unit}") == F.col("l")), "left").drop("c", "s", "l")
+    larger = F.when(F.col("bytes.n") > F.coalesce("chars.n", F.lit(0)), F.col("bytes")).otherwise(F.col("chars"))
+    own = rows.select("column", "source", larger.alias("peak")).filter("peak IS NOT NULL").groupBy("column", "source", "peak").agg(F.count(F.lit(1)).alias("own"))
+    kept = own.filter((F.col("own") >= LEAST_SPIKE) & (F.col("own") >= SPIKE_FACTOR * F.col("peak.mean")))
+    return kept.select("column", "source", "peak.unit", "peak.length", F.col("own").alias("n"), (F.col("own") / F.col("peak.total")).alias("share"))
 
 
-LEAST_WHOLE, LEAST_WHOLE_AT_SPIKE = 2, 3
+LEAST_WHOLE, LEAST_ENDING = 2, 3
 #: Of a shape's opening: so many of its whole sentences must have the shape, and so many of its uses lack a stop for a label.
 WHOLE_SHARE, LABEL_SHARE, LABEL_ENDING = 0.002, 0.5, 0.05
 
 
 def judged(staged: DataFrame) -> DataFrame:
-    """Every text that ends without a stop, with ``at_spike`` and ``complete``.  One row per (column, row_id)."""
+    """Every text that ends without a stop, with ``at_spike`` and ``complete`` (never at a spike).  One row per (column, row_id)."""
     open_ = open_ended(staged)
     stat = staged.filter("stat IS NOT NULL").groupBy("stat", F.col("shape").alias("key")).agg(F.sum("n").alias("n"))
     of = lambda kind, key, name: stat.filter(F.col("stat") == kind).select(F.col("key").alias(key), F.col("n").alias(name))
@@ -219,7 +243,7 @@ def judged(staged: DataFrame) -> DataFrame:
         .join(bare_ending, ["opening", "closing"])
         .na.fill(0, ["n_shape", "n_opening", "n_closing"])
     )
-    found = spikes(open_).select("column", "source", "unit", "length").distinct()
+    found = stage(spikes(open_).select("column", "source", "unit", "length"), "spikes")
     limit = lambda unit, size: found.filter(F.col("unit") == unit).select(F.col("column").alias("c"), F.col("source").alias("s"), F.col("length").alias("l"), F.lit(True).alias(f"at_{size}"))
     rows = open_
     for unit in ("chars", "bytes"):
@@ -227,12 +251,12 @@ def judged(staged: DataFrame) -> DataFrame:
     rows = rows.join(used.drop("opening", "closing"), "shape")
     at_spike = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
     label = F.col("n_bare") >= LABEL_SHARE * (F.col("n_bare") + F.col("n_opening"))
-    lacks_stop = (F.col("n_shape") >= F.when(at_spike, LEAST_WHOLE_AT_SPIKE).otherwise(LEAST_WHOLE)) & (F.col("n_shape") >= WHOLE_SHARE * F.col("n_opening"))
-    ends_like_label = (F.col("n_closing") >= LEAST_WHOLE_AT_SPIKE) | (F.col("n_ending") >= F.greatest(F.lit(LEAST_WHOLE_AT_SPIKE), LABEL_ENDING * F.col("n_bare")))
+    lacks_stop = (F.col("n_shape") >= LEAST_WHOLE) & (F.col("n_shape") >= WHOLE_SHARE * F.col("n_opening"))
+    ends_like_label = (F.col("n_closing") >= LEAST_ENDING) | (F.col("n_ending") >= F.greatest(F.lit(LEAST_ENDING), LABEL_ENDING * F.col("n_bare")))
     telling = F.col("n_opening") + F.col("n_bare") >= 20
     marked = (F.col("mark") == MARKED) & ~(telling & ~F.col("han") & (F.col("n_bare") < 0.2 * (F.col("n_bare") + F.col("n_opening"))))
-    complete = (F.col("mark") == LEAD_IN) | marked | lacks_stop | (label & ~at_spike & ~F.col("stub") & (F.col("n_bare") >= 3) & ends_like_label)
-    complete &= F.col("mark") != UNCLOSED
+    complete = (F.col("mark") == LEAD_IN) | marked | lacks_stop | (label & ~F.col("stub") & (F.col("n_bare") >= 3) & ends_like_label)
+    complete &= (F.col("mark") != UNCLOSED) & ~at_spike
     return rows.select("column", "row_id", "source", "n_chars", "n_bytes", "tail_value", "comma", at_spike.alias("at_spike"), complete.alias("complete"))
 
 
@@ -283,11 +307,11 @@ def continued(rows: DataFrame) -> DataFrame:
     spread = rows.repartitionByRange("version_id", "position", "row_id").sortWithinPartitions("version_id", "position", "row_id")
     seen = stage(spread.mapInArrow(_follow, "row_id bigint, continued boolean, part int, version_id bigint, head boolean"), "follow")
     inside = seen.filter("part IS NULL").select("row_id", "continued")
-    # two rows per task from here on
-    ends = seen.filter("part IS NOT NULL AND head IS NULL").select("row_id", "part", "version_id")
-    heads = seen.filter("head").select(F.col("part").alias("p"), F.col("version_id").alias("v"), F.col("continued").alias("c"))
-    after = ends.join(heads, F.col("p") > F.col("part"), "left").groupBy("part").agg(
-        F.first("row_id").alias("row_id"), F.first("version_id").alias("version_id"), F.min_by(F.struct("v", "c"), "p").alias("next")
-    )
+    # two rows per task from here on: each end meets the head of the next task that has rows
+    rows = seen.filter("part IS NOT NULL")
+    by_part = Window.orderBy("part")
+    ends = rows.filter("head IS NULL").select("part", "row_id", "version_id")
+    heads = rows.filter("head").select("part", F.lead(F.struct(F.col("version_id").alias("v"), F.col("continued").alias("c"))).over(by_part).alias("next"))
+    after = ends.join(heads, "part")
     last = after.filter("row_id IS NOT NULL").select("row_id", F.coalesce((F.col("next.v") == F.col("version_id")) & F.col("next.c"), F.lit(False)).alias("continued"))
     return inside.unionAll(last).dropDuplicates(["row_id"])

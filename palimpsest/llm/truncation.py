@@ -13,6 +13,12 @@ SEGMENTS, TRANSLATIONS = "segments", "translations"
 NO_ANSWER = ("missing", "failed")
 
 
+def _answers(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "translations").filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select(
+        F.lit(TRANSLATIONS).alias("column"), F.col("id").alias("row_id"), F.col("provider").alias("source"), "text"
+    )
+
+
 def _texts(spark: SparkSession, root: str) -> DataFrame:
     """(column, row_id, source, text) of every paragraph of role body and every answer, rows maybe twice.
 
@@ -22,10 +28,7 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     paragraphs = table(spark, root, "segments").filter("role = 'body' AND kind = 'paragraph'").select(
         F.lit(SEGMENTS).alias("column"), F.col("id").alias("row_id"), F.col("doc_id").cast("string").alias("source"), "text"
     )
-    answers = table(spark, root, "translations").filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select(
-        F.lit(TRANSLATIONS).alias("column"), F.col("id").alias("row_id"), F.col("provider").alias("source"), "text"
-    )
-    return paragraphs.unionAll(answers)
+    return paragraphs.unionAll(_answers(spark, root))
 
 
 def _directories(spark: SparkSession, root: str) -> DataFrame:
@@ -48,6 +51,11 @@ def endings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return staged, stage(judged(open_.select(*stats.columns).unionAll(stats)), "judged")
 
 
+def answer_endings(spark: SparkSession, root: str) -> DataFrame:
+    """Every answer that ends without a stop with the judgement of its ending, from the answers alone."""
+    return stage(judged(analysed(_answers(spark, root))), "judged")
+
+
 def _visible(text: str):
     return F.regexp_replace(text, "[\\s\\u00AD\\u200B-\\u200F\\u2060\\uFEFF\\u00A0\\u2000-\\u200A\\u202F\\u3000]+", " ")
 
@@ -59,7 +67,8 @@ def _letters(c):
 def open_answers(spark: SparkSession, root: str, ends: DataFrame) -> DataFrame:
     """(row_id, segment_id, source, at_spike, cut, source_stops) of every answer that ends without a stop.
 
-    An answer leaves open what its source leaves open: one that ends in a comma
+    An answer at a spike was cut, unless it gives the whole source back or ends in the
+    comma that its source ends in.  Any other leaves open what its source leaves open: one that ends in a comma
     as its source does, one that gives the source back, and one of a heading,
     cell or label, which has no sentence to cut.
     """
@@ -72,15 +81,13 @@ def open_answers(spark: SparkSession, root: str, ends: DataFrame) -> DataFrame:
     sentence = stops | (F.coalesce(F.col("kind"), F.lit("paragraph")) == "paragraph")
     also_open = F.col("comma") & F.coalesce(tail.rlike("[,;，；]$"), F.lit(False))
     given_back = F.coalesce(_letters(F.col("answer")) == _letters(F.regexp_replace("source_text", "-\\n", "")), F.lit(False))
-    told, given = values_of(F.col("answer")), values_of(F.col("source_text"))
-    # at a limit an ending may pass for complete by chance; what the source says beyond it tells
-    lost = F.col("at_spike") & stops & (F.size(F.array_except(given, told)) > 0)
-    cut = sentence & ~given_back & ((~F.col("complete") & ~also_open) | value_cut(F.col("tail_value"), given) | F.coalesce(lost & ~also_open, F.lit(False)))
+    given = values_of(F.col("source_text"))
+    cut = ~given_back & ((F.col("at_spike") & ~also_open) | (sentence & ((~F.col("complete") & ~also_open) | value_cut(F.col("tail_value"), given))))
     return held.select(F.col("column"), "row_id", "segment_id", "source", "at_spike", cut.alias("cut"), stops.alias("source_stops"))
 
 
 def cut_rows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """((table_name, row_id, source) of cut rows, (table_name, source, n) of all rows that might be)."""
+    """((table_name, row_id, source, at_spike) of cut rows, (table_name, source, n) of all rows that might be)."""
     staged, ends = endings(spark, root)
     # paragraphs: not continued by the next body segment
     body = table(spark, root, "segments").filter("role = 'body'")
@@ -95,16 +102,20 @@ def cut_rows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     goes_on = continued(asked)
     paragraphs = ends.filter((F.col("column") == SEGMENTS) & ~F.col("complete")).join(goes_on, "row_id", "left").filter(~F.coalesce("continued", F.lit(False)))
     cut_answers = open_answers(spark, root, ends).filter("cut")
-    cut = paragraphs.select(F.col("column").alias("table_name"), "row_id", "source").unionAll(cut_answers.select(F.col("column").alias("table_name"), "row_id", "source"))
+    out = (F.col("column").alias("table_name"), "row_id", "source", "at_spike")
+    cut = paragraphs.select(*out).unionAll(cut_answers.select(*out))
     candidates = _sourced(_texts(spark, root).filter(F.length("text") > 0).select("column", "row_id", "source").dropDuplicates(["column", "row_id"]), _directories(spark, root))
     return cut, candidates.groupBy(F.col("column").alias("table_name"), "source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def truncation_rates(spark: SparkSession, root: str) -> DataFrame:
-    """(table_name, source, n_rows, n_cut, share) per directory and per provider; null is a source of its own."""
+    """(table_name, source, n_rows, n_cut, n_at_limit, share) per directory and per provider; null is a source of its own.
+
+    ``n_at_limit`` of the cut rows stand at a spike of their source's lengths; the others come from broken transfers.
+    """
     cut, total = cut_rows(spark, root)
-    n = cut.groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("n_cut"))
+    n = cut.groupBy("table_name", "source").agg(F.count(F.lit(1)).alias("n_cut"), F.count_if("at_spike").alias("n_at_limit"))
     t, c = total.alias("t"), n.alias("c")
     return t.join(c, (F.col("t.table_name") == F.col("c.table_name")) & F.col("t.source").eqNullSafe(F.col("c.source")), "left").select(
-        "t.table_name", "t.source", "n_rows", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_rows")).alias("share")
+        "t.table_name", "t.source", "n_rows", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_rows")).alias("share")
     )
