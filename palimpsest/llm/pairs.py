@@ -1,14 +1,21 @@
 """Broken prompt and response pairs, by noisy labelling functions and a label model per defect.
 
-Every defect has a few labelling functions that vote for it (+1), against it
-(-1) or not at all (0) on each pair.  How often each vote pattern occurs over
-all pairs is all the label model sees: a two-class model with independent
-votes, fitted by expectation maximisation under priors that say how far each
-function is trusted beforehand.  A pair keeps every defect whose posterior
-exceeds its cutoff; the cutoffs are validated on pairs broken on purpose
-(tests/llm/test_pairs.py).
-
-There are at most 3^4 patterns of a defect, so what reaches the driver and
+Every defect has six or seven labelling functions that look at different things
+(phrases, lengths, values, scripts, order of words, endings over the corpus)
+and vote for it (+1), against it (-1) or not at all (0).  How often each vote
+pattern occurs over all pairs is all the label model sees: a two-class model
+with independent votes, fitted by expectation maximisation.  What is known
+beforehand about the functions only starts the fit; its weight is ``STRENGTH``
+of the pairs.  A pair keeps every defect whose posterior reaches the cutoff,
+so a text in another language may be cut as well.  Cutoffs are chosen on pairs
+broken on purpose (``palimpsest.llm.validate_pairs``).
+
+A defect that its definition rules out for a pair is barred there: a pair with
+a source under five words cannot be a copy, one whose source has no full stop
+cannot be cut, and what refuses or gives the source back is not in another
+language.  Barred pairs take no part in the fit.
+
+There are at most 3^7 + 1 patterns of a defect, so what reaches the driver and
 what is broadcast is bounded whatever the number of pairs.
 """
 
@@ -20,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.confusables import skeleton
@@ -128,85 +135,176 @@ def asks_back(unquoted: str) -> bool:
     return any(m in low for m in _ASK_MARKS) and bool(_ASKS_BACK.search(unquoted))
 
 
-def _refusal(source: str, answer: str, values: set[str], shared: bool) -> tuple[int, ...]:
-    unquoted = _QUOTED.sub(" ", unicodedata.normalize("NFKC", answer))
-    asks = asks_back(unquoted) and not _SOURCE_ASKS.search(source)
-    refuses = asks or declines(unquoted)
-    return 1 if refuses else -1, 1 if _OPENS.match(unquoted) else -1, 0 if not values else (-1 if shared else 1), 1 if asks or _ASKS.search(unquoted) else 0
-
-
-def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool) -> tuple[tuple[int, ...], ...]:
-    """The votes of all labelling functions, a tuple per defect in the order of ``DEFECTS``."""
+#: A text that speaks of itself or its writer, and words about translating and helping.
+_SELF = re.compile(
+    r"我(?!们|国|方|军)|本(?:助手|模型|系统无法)|\b(?:I|me|my|I.m|myself)\b|\bas an? (?:ai|assistant|large|language)\b|\b(?:ich|mir|mein\w*)\b|\b(?:je|j.ai|mon|moi)\b|\b(?:yo|puedo|siento|mío)\b|\b(?:io|posso)\b|\b(?:eu|não posso)\b|\b(?:я|мне|могу)\b|私|わたし|저는|제가",
+    re.I,
+)
+_TALK = re.compile(
+    r"翻译|译文|译员|请求|要求被|回答|答复|协助|帮助您|帮到|上下文|语境|敏感|政策|规定(?:不|所)|抱歉|对不起|\btranslat\w+|\brequest\b|\bassist\b|\bhelp\b|\banswer\b|\bcontext\b|\bpolicy\b|\bcomply\b|\bsorry\b|\bapolog\w+|\bclarif\w+|\brephras\w+|\bdeclin\w+|\brefus\w+"
+    r"|übersetz\w*|anfrage|kontext|traduire|traduction|demande|contexte|traducir|traducción|solicitud|contexto|contesto|tradurre|перевести|перевод\w*|запрос\w*|контекст\w*|翻訳|文脈|お手伝い|번역|문맥|요청",
+    re.I,
+)
+_COMMON_HAN = re.compile("[的了在是并将与和及应请不为至从到时后前该此或再由于]")
+_KANA = re.compile("[\u3040-\u30ff\u31f0-\u31ff]")
+_HAN_STOP = re.compile("[。，、；：]")
+_LATIN_STOP = re.compile(r"[^\W\d_][.,] ?(?:[^\W\d_]|$)")
+_OPEN_TAIL = re.compile(r"[,，、;；:：(（\[“「『《‘/-]\s*$|(?:的|了|和|与|及|并|或|在|从|将|把|对|向|为|由|at|the|of|and|to|in|or)$")
+_ANY_STOP = re.compile(r"[.!?。！？]+(?=\s|$|[\"'”’)）\]」』]|[^\x00-\x7f])|[。！？]")
+#: Answers this much shorter than an English source are suspicious, and this much longer are not.
+LONG_ENOUGH = 0.3
+BARRED = -2
+
+
+def _refusal(source: str, unquoted: str, values: set[str], told: set[str], refuses: bool, asks: bool, declines_: bool, recurs: int | None) -> tuple[int, ...]:
+    if unquoted.isascii() or not _SOURCE_ASKS.search(source):
+        talk = 1 if _TALK.search(unquoted) and not _TALK.search(source) else -1
+    else:
+        talk = 0
+    return (
+        1 if declines_ else -1,
+        1 if asks else (0 if _ASKS.search(unquoted) else -1),
+        1 if _OPENS.match(unquoted) else -1,
+        1 if _SELF.search(unquoted) and not _SELF.search(source) else -1,
+        0 if not values else (-1 if values & told else 1),
+        talk,
+        0 if recurs is None or len(unquoted) < LEAST_RECURRING_CHARS else (1 if recurs >= LEAST_RECURRENCE else -1),
+    )
+
+
+def _empty(source: str, answer: str, speaks: bool, values: set[str], told: set[str]) -> tuple[int, ...]:
+    if speaks:
+        return -1, -1, -1, -1, (0 if not values else (-1 if values & told else 1)), 0
+    flat, given = _shown(answer), _shown(source)
+    kept = bool(flat) and flat == given
+    return (
+        1,
+        1 if not flat else (0 if all(unicodedata.category(c)[0] == "P" for c in flat) else -1),
+        1 if _SPEAKS.search(source) else -1,
+        1 if len(flat) < 3 and len(flat) < 0.05 * len(given) else (0 if not flat else -1),
+        1 if values else 0,
+        -1 if kept else 0,
+    )
+
+
+def _copied(source: str, answer: str, f_answer: str, f_source: str, same: bool, han: bool, values: set[str], told: set[str], words: int) -> tuple[int, ...]:
+    if words < LEAST_COPIED_WORDS:
+        return (BARRED,) * 7
+    said, given = ([w.casefold() for w in _LETTERS.findall(skeleton(x))] for x in (answer, source))
+    own, theirs = set(said), set(given)
+    both = set(zip(said, said[1:])) & set(zip(given, given[1:]))
+    return (
+        1 if same else -1,
+        1 if len(own) >= LEAST_COPIED_WORDS and len(own & theirs) >= 0.9 * len(own) else -1,
+        0 if f_source and 0.85 <= len(f_answer) / len(f_source) <= 1.15 else -1,
+        -1 if han and not _HAN.search(source) else 0,
+        1 if f_answer[:12] == f_source[:12] and f_answer[-6:] == f_source[-6:] else -1,
+        0 if values == told else -1,
+        1 if len(said) >= LEAST_COPIED_WORDS and len(both) >= 0.8 * len(set(zip(said, said[1:]))) else -1,
+    )
+
+
+def _wrong_language(source: str, answer: str, n_han: int) -> tuple[int, ...]:
+    plain = _CODE.sub(" ", answer)
+    n_other = len(_OTHER_SCRIPT.findall(plain))
+    words = [w for w in _LETTERS.findall(plain) if len(w) > 1 and not w.isupper() and not _HAN.search(w)]
+    letters = n_han + max(n_other, sum(map(len, words)))
+    low = source.casefold()
+    low_words = {w.casefold() for w in words}
+    foreign = sum(w not in low for w in low_words)
+    return (
+        0 if not letters else (1 if letters >= 6 and n_han < 0.1 * letters else (-1 if n_han >= 0.5 * letters else 0)),
+        1 if n_other >= 3 else -1,
+        1 if not low_words.isdisjoint(FUNCTION_WORDS) else -1,
+        1 if foreign >= 3 else -1,
+        1 if _KANA.search(plain) else (-1 if _COMMON_HAN.search(plain) else (1 if letters >= 6 and not n_han else 0)),
+        -1 if _HAN_STOP.search(answer) and not n_other else (1 if _LATIN_STOP.search(answer) else 0),
+    )
+
+
+def _truncated(source: str, answer: str, cut: bool, at_limit: bool | None, values: set[str]) -> tuple[int, ...]:
+    tail = _TRAILING_OFF.sub("", answer.rstrip())
+    stops = bool(_STOP.search(tail))
+    size = len(answer) / max(1, len(source))
+    sentences = len(_ANY_STOP.findall(source)) - len(_ANY_STOP.findall(answer))
+    # what tells that content is missing hangs together, so it is one vote
+    missing = (size < SHORT) + (sentences > 1) - (size >= LONG_ENOUGH) - (sentences <= 0)
+    last = _VALUE.findall(source)[-1] if values else None
+    return (
+        1 if cut else -1,
+        -1 if stops else 1,
+        1 if missing > 0 else (-1 if missing < 0 else 0),
+        0 if last is None else (-1 if last in _VALUE.findall(answer) else 1),
+        1 if not stops and (_OPEN_TAIL.search(tail) or len(tail) < len(answer.rstrip())) else 0,
+        1 if at_limit and not stops else 0,
+    )
+
+
+def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool, recurs: int | None = None, at_limit: bool | None = None) -> tuple[tuple[int, ...], ...]:
+    """The votes of all labelling functions, a tuple per defect in the order of ``DEFECTS``; barred defects hold ``BARRED``.
+
+    ``recurs``: of how many different sources the answer is given; ``at_limit``: whether its length is one at which
+    its provider cuts.  Null where nobody knows.
+    """
     source, answer = source or "", answer or ""
-    if not _SPEAKS.search(answer):
-        flat = _shown(answer)
-        if all(unicodedata.category(c)[0] == "P" for c in flat):
-            kept = bool(flat) and flat == _shown(source)
-            empty = (1, 1 if not flat else 0, -1 if kept else (1 if _SPEAKS.search(source) else -1))
-            return empty, (-1, -1, 0, -1), (-1, 0, -1), (-1, -1, -1, 0), (-1, 0, 0, -1)
-    empty = (-1, -1, -1)
-    han = bool(_HAN.search(answer))
+    speaks = bool(_SPEAKS.search(answer))
     values = set(_VALUE.findall(source))
-    told = set(_VALUE.findall(answer)) if values else set()
-    refusal = _refusal(source, answer, values, bool(values & told))
-    other = len(_OTHER_SCRIPT.findall(answer))
+    told = set(_VALUE.findall(answer)) if speaks else set()
+    empty = _empty(source, answer, speaks, values, told)
+    if not speaks:
+        return empty, *((BARRED,) * n for n in (7, 7, 6, 6))
+    unquoted = _QUOTED.sub(" ", answer if answer.isascii() else unicodedata.normalize("NFKC", answer))
+    asks, declines_ = asks_back(unquoted) and not _SOURCE_ASKS.search(source), declines(unquoted)
+    refuses = asks or declines_
+    refusal = _refusal(source, unquoted, values, told, refuses, asks, declines_, recurs)
+    n_han = len(_HAN.findall(answer))
     wrapped = source.replace("-\n", "")
-    same = kept = False
-    copied = (-1, -1, -1)
-    if not han or not source.isascii():  # the skeleton keeps Han characters, so nothing with one of them equals ASCII
-        f_answer = folded(answer)
-        same = bool(f_answer) and f_answer in (folded(source), folded(wrapped))
-        kept = same or _shown(answer) == _shown(source)
-        plain_source = skeleton(wrapped)
-        copied = (-1, -1 if han else 0, -1)
-        if sum(map(bool, map(_LETTERS.search, plain_source.split()))) >= LEAST_COPIED_WORDS:
-            own = {w.casefold() for w in _LETTERS.findall(skeleton(answer))}
-            theirs = {w.casefold() for w in _LETTERS.findall(plain_source)}
-            near = len(own) >= LEAST_COPIED_WORDS and len(own & theirs) >= 0.9 * len(own) and told <= values and (same or not han)
-            copied = (1 if same else -1, 1 if near else -1, -1 if han and not same else 0)
-    if kept or refusal[0] > 0:
-        wrong = (-1, -1, -1, -1)
-    elif han and not other and not _LATIN_RUN.search(answer):
-        wrong = (-1, -1, -1, 0)
-    else:
-        plain = [w for w in _LETTERS.findall(_CODE.sub(" ", answer)) if len(w) > 1 and not w.isupper() and not _HAN.search(w)]
-        low = source.casefold()
-        foreign = sum(w.casefold() not in low for w in plain)
-        n_han = len(_HAN.findall(answer)) if han else 0
-        script = 1 if other >= 3 or (not han and len(plain) >= 3) else (-1 if n_han >= 0.2 * len(answer) else 0)
-        function = any(w.casefold() in FUNCTION_WORDS for w in plain)
-        wrong = (script, 1 if other >= 3 or foreign >= 3 else -1, 1 if other >= 3 or (function and not han) else -1, 0)
-    if not source_stops or same or copied[1] > 0 or refusal[0] > 0 or script_only(wrong):
-        truncated = (-1, -1, 0, -1)
+    if n_han and wrapped.isascii():  # the skeleton keeps Han characters, so nothing with one of them equals ASCII
+        same = given_back = False
+        copied = (-1, -1, -1, -1, -1, 0 if values == told else -1, -1) if _words(wrapped) >= LEAST_COPIED_WORDS else (BARRED,) * 7
     else:
-        short = len(answer) < SHORT * len(wrapped)
-        truncated = (1 if cut else -1, -1 if _STOP.search(_TRAILING_OFF.sub("", answer.rstrip())) else 1, 0 if not values else (1 if values - told else -1), 1 if short else 0)
+        f_answer, f_source = folded(answer), folded(wrapped)
+        same = bool(f_answer) and f_answer in (f_source, folded(source))
+        copied = _copied(wrapped, answer, f_answer, f_source, same, bool(n_han), values, told, _words(skeleton(wrapped)))
+        given_back = same or copied[1] > 0 or _shown(answer) == _shown(source)
+    wrong = (BARRED,) * 6 if given_back or refuses else _wrong_language(source, answer, n_han)
+    truncated = _truncated(wrapped, answer, cut, at_limit, values) if source_stops and not same else (BARRED,) * 6
     return empty, refusal, copied, wrong, truncated
 
 
-def script_only(wrong: tuple[int, ...]) -> bool:
-    return sum(wrong) >= 2
+def _words(text: str) -> int:
+    return sum(map(bool, map(_LETTERS.search, text.split())))
 
 
-#: Per defect and function: the probability of a vote for it on defective pairs, and on sound ones, before any data.
+def _against(defective: float, sound: float) -> tuple[tuple[float, float, float], ...]:
+    """A function that votes against a defect with these probabilities, and else not at all."""
+    return tuple((p, 0.999 - p, 0.001) for p in (defective, sound))
+
+
+#: Where the fit starts: per defect and function, the probability of a vote for it on defective pairs and on sound ones.
 TRUST = {
-    EMPTY: ((0.99, 0.001), (0.7, 0.001), (0.95, 0.002)),
-    REFUSAL: ((0.98, 0.001), (0.9, 0.01), (0.8, 0.3), (0.6, 0.002)),
-    COPIED: ((0.98, 0.0005), (0.95, 0.002), (0.01, 0.01)),
-    WRONG_LANGUAGE: ((0.97, 0.002), (0.95, 0.01), (0.9, 0.005), (0.01, 0.01)),
-    TRUNCATED: ((0.985, 0.002), (0.985, 0.05), (0.7, 0.05), (0.4, 0.02)),
+    EMPTY: ((0.99, 0.001), (0.7, 0.001), (0.95, 0.002), (0.9, 0.002), (0.6, 0.1), _against(0.01, 0.1)),
+    REFUSAL: ((0.75, 0.001), (0.35, 0.001), (0.7, 0.005), (0.6, 0.01), (0.8, 0.1), (0.75, 0.01), (0.7, 0.05)),
+    COPIED: ((0.95, 0.0005), (0.95, 0.002), _against(0.05, 0.9), _against(0.02, 0.95), (0.9, 0.002), _against(0.05, 0.3), (0.95, 0.001)),
+    WRONG_LANGUAGE: ((0.8, 0.002), (0.5, 0.001), (0.6, 0.002), (0.6, 0.002), (0.7, 0.01), (0.6, 0.02)),
+    TRUNCATED: ((0.95, 0.005), (0.98, 0.05), (0.7, 0.05), (0.7, 0.05), (0.3, 0.02), (0.3, 0.001)),
 }
-#: Against votes on defective and sound pairs likewise follow from these: what is left goes to abstaining in this share.
+#: What is left goes to abstaining in this share, the rest to votes against.
 ABSTAIN = 0.2
 PRIOR = 0.02
-#: Weight of the priors, as a share of all pairs.
-STRENGTH = 0.5
-#: Posterior from which a defect is kept; validated on pairs broken on purpose.
-CUTOFFS = {EMPTY: 0.5, REFUSAL: 0.5, COPIED: 0.5, WRONG_LANGUAGE: 0.5, TRUNCATED: 0.5}
+#: Weight of what is known beforehand, as a share of the pairs that count.
+STRENGTH = 0.02
+#: Posterior from which a defect is kept, chosen on pairs broken on purpose (validate_pairs).
+CUTOFFS = {EMPTY: 0.5, REFUSAL: 0.01, COPIED: 0.5, WRONG_LANGUAGE: 0.5, TRUNCATED: 0.35}
+#: An answer of so many characters or more that so many different sources get is boilerplate.
+LEAST_RECURRING_CHARS, LEAST_RECURRENCE = 6, 3
 
 
 def encode_votes(v: tuple[int, ...]) -> int:
-    code = 0
+    """The pattern's number; barred ones are 0."""
+    if v[0] == BARRED:
+        return 0
+    code = 1
     for x in v:
         code = code * 3 + x + 1
     return code
@@ -221,18 +319,18 @@ def decode_votes(code: int, n: int) -> tuple[int, ...]:
 
 
 def fit(defect: str, counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
-    """Posterior of the defect per vote pattern, by expectation maximisation over the patterns' counts."""
+    """Posterior of the defect per vote pattern, by expectation maximisation over the patterns' counts; 0 where it is barred."""
     trust = TRUST[defect]
-    m, total = len(trust), sum(counts.values())
+    patterns = sorted(p for p in counts if p)
+    m, total = len(trust), sum(counts[p] for p in patterns)
     if not total:
-        return {}
-    patterns = sorted(counts)
+        return dict.fromkeys(counts, 0.0)
     v = np.array([decode_votes(p, m) for p in patterns]) + 1
     n = np.array([counts[p] for p in patterns], float)
     prior = np.empty((2, m, 3))
     for j, (hit, false) in enumerate(trust):
         for y, p in ((1, hit), (0, false)):
-            prior[y, j] = ((1 - p) * (1 - ABSTAIN), (1 - p) * ABSTAIN, p)
+            prior[y, j] = p if isinstance(p, tuple) else ((1 - p) * (1 - ABSTAIN), (1 - p) * ABSTAIN, p)
     theta, share = prior.copy(), PRIOR
     weight = np.array([STRENGTH * total * (1 - PRIOR), STRENGTH * total * PRIOR])
     for _ in range(rounds):
@@ -243,20 +341,38 @@ def fit(defect: str, counts: dict[int, int], rounds: int = 50) -> dict[int, floa
                 seen = np.array([w[v[:, j] == x].sum() for x in range(3)])
                 theta[y, j] = (seen + weight[y] * prior[y, j]) / (seen.sum() + weight[y])
         share = (float((n * post).sum()) + PRIOR * STRENGTH * total) / (total * (1 + STRENGTH))
-    return {p: float(x) for p, x in zip(patterns, post, strict=True)}
+    return dict.fromkeys(counts, 0.0) | {p: float(x) for p, x in zip(patterns, post, strict=True)}
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        codes = [[encode_votes(v) for v in votes(s, a, c, t)] for s, a, c, t in zip(*(b[x].to_pylist() for x in ("source_text", "answer", "cut", "source_stops")), strict=True)]
+        given = zip(*(b[x].to_pylist() for x in ("source_text", "answer", "cut", "source_stops", "recurs", "at_limit")), strict=True)
+        codes = [[encode_votes(v) for v in votes(*row)] for row in given]
         columns = list(zip(*codes, strict=True)) if codes else [()] * len(DEFECTS)
         yield pa.RecordBatch.from_arrays([b["pair_id"], *(pa.array(c, pa.int32()) for c in columns)], ["pair_id", *DEFECTS])
 
 
+def recurring_answers(pairs: DataFrame) -> DataFrame:
+    """(answer_name, recurs): answers, digits aside, that at least ``LEAST_RECURRENCE`` different sources get.
+
+    Pairs are made distinct first, so an answer that fills a third of all rows
+    is one row per different source, and sums are partial before the shuffle.
+    """
+    named = pairs.filter(F.length("answer") >= LEAST_RECURRING_CHARS).select(answer_name("answer").alias("answer_name"), F.xxhash64("source_text").alias("s")).distinct()
+    return named.groupBy("answer_name").agg(F.count(F.lit(1)).cast("int").alias("recurs")).filter(F.col("recurs") >= LEAST_RECURRENCE)
+
+
+def answer_name(answer: str) -> Column:
+    return F.xxhash64(F.regexp_replace(F.lower(answer), "[0-9]+", "0"))
+
+
 def voted(pairs: DataFrame) -> DataFrame:
-    """(pair_id, a vote pattern per defect) of ``pairs`` (pair_id, source_text, answer, cut, source_stops), staged."""
+    """(pair_id, a vote pattern per defect) of ``pairs`` (pair_id, source_text, answer, cut, source_stops and, if known, at_limit), staged."""
     kind = "pair_id bigint, " + ", ".join(f"{d} int" for d in DEFECTS)
-    return stage(pairs.select("pair_id", "source_text", "answer", "cut", "source_stops").mapInArrow(_voted, kind), "votes")
+    at_limit = F.col("at_limit") if "at_limit" in pairs.columns else F.lit(None).cast("boolean").alias("at_limit")
+    rows = pairs.select("pair_id", "source_text", "answer", "cut", "source_stops", at_limit)
+    told = rows.withColumn("answer_name", answer_name("answer")).join(recurring_answers(rows), "answer_name", "left").withColumn("recurs", F.coalesce("recurs", F.lit(1)))
+    return stage(told.select("pair_id", "source_text", "answer", "cut", "source_stops", "recurs", "at_limit").mapInArrow(_voted, kind), "votes")
 
 
 def defects(votes_: DataFrame) -> DataFrame:
@@ -264,7 +380,7 @@ def defects(votes_: DataFrame) -> DataFrame:
     spark = votes_.sparkSession
     long = votes_.select("pair_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).select("pair_id", "x.*")
     counted: dict[str, dict[int, int]] = {d: {} for d in DEFECTS}
-    for r in long.groupBy("defect", "pattern").count().collect():  # at most 81 patterns of each of five defects
+    for r in long.groupBy("defect", "pattern").count().collect():  # at most 2188 patterns of each of five defects
         counted[r["defect"]][r["pattern"]] = r["count"]
     kept = [(d, p, x) for d in DEFECTS for p, x in fit(d, counted[d]).items() if x >= CUTOFFS[d]]
     table = spark.createDataFrame(kept, "defect string, pattern int, posterior double")
@@ -272,6 +388,7 @@ def defects(votes_: DataFrame) -> DataFrame:
 
 
 def main_defect(found: DataFrame) -> DataFrame:
-    """(pair_id, defect): the likeliest defect of each pair; equal posteriors go to the earlier one of ``DEFECTS``."""
+    """(pair_id, defect): of the defects a pair keeps, the first of ``DEFECTS``: what is empty says nothing, what refuses
+    or gives the source back is not judged by its language, and a text that stops early is named by what it says."""
     rank = F.array_position(F.array(*map(F.lit, DEFECTS)), F.col("defect"))
-    return found.groupBy("pair_id").agg(F.max_by("defect", F.struct("posterior", -rank)).alias("defect"))
+    return found.groupBy("pair_id").agg(F.min_by("defect", rank).alias("defect"))

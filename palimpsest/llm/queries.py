@@ -15,7 +15,7 @@ from palimpsest.llm.pairs import defects, main_defect, voted
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
 from palimpsest.llm.residue import classed_messages, recurring, residue
 from palimpsest.llm.tokens import encode_column
-from palimpsest.llm.truncation import NO_ANSWER, cut_rows, endings, open_answers, truncation_rates
+from palimpsest.llm.truncation import NO_ANSWER, answer_endings, cut_rows, open_answers, truncation_rates
 from palimpsest.sources.tables import current_rows, once, table
 
 P1_LIKENESS = 0.5
@@ -44,21 +44,25 @@ def p2_batches(spark: SparkSession, root: str) -> DataFrame:
     return packed.withColumnsRenamed({"seq": "version_id", "item_ids": "segment_ids", "n_items": "n_segments"})
 
 
-def _votes(spark: SparkSession, root: str) -> DataFrame:
-    """The votes on each body segment and its current translation."""
+def pair_rows(spark: SparkSession, root: str) -> DataFrame:
+    """(pair_id, source_text, answer, cut, at_limit, source_stops): each body segment with its current translation."""
     current = current_rows(table(spark, root, "translations").select("segment_id", "id", "text", "status", "revision"), "segment_id", "revision", "id")
     answers = current.filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select("segment_id", F.col("id").alias("row_id"), F.col("text").alias("answer"))
     sources = once(table(spark, root, "segments").filter("role = 'body'").select("id", "text")).select(F.col("id").alias("segment_id"), F.col("text").alias("source_text"))
-    cuts = open_answers(spark, root, endings(spark, root)[1]).filter("cut").select("row_id", "cut")
+    cuts = open_answers(spark, root, answer_endings(spark, root)).select("row_id", "cut", "at_spike")
     tail = F.rtrim(F.regexp_replace("source_text", "[\\u00AD\\u200B-\\u200F\\u2060\\uFEFF]+", ""))
-    pairs = answers.join(sources, "segment_id").join(cuts, "row_id", "left").select(
+    return answers.join(sources, "segment_id").join(cuts, "row_id", "left").select(
         F.col("segment_id").alias("pair_id"),
         "source_text",
         "answer",
         F.coalesce("cut", F.lit(False)).alias("cut"),
+        F.coalesce("at_spike", F.lit(False)).alias("at_limit"),
         F.coalesce(tail.rlike("[.!?\u3002\uff01\uff1f][\"'\u201d\u2019)\\]]*\\s*$"), F.lit(False)).alias("source_stops"),
     )
-    return voted(pairs)
+
+
+def _votes(spark: SparkSession, root: str) -> DataFrame:
+    return voted(pair_rows(spark, root))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

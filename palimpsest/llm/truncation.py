@@ -13,7 +13,8 @@ SEGMENTS, TRANSLATIONS = "segments", "translations"
 NO_ANSWER = ("missing", "failed")
 
 
-def _answers(spark: SparkSession, root: str) -> DataFrame:
+def answer_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(column, row_id, source, text) of every answer, of whatever revision."""
     return table(spark, root, "translations").filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select(
         F.lit(TRANSLATIONS).alias("column"), F.col("id").alias("row_id"), F.col("provider").alias("source"), "text"
     )
@@ -28,7 +29,7 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     paragraphs = table(spark, root, "segments").filter("role = 'body' AND kind = 'paragraph'").select(
         F.lit(SEGMENTS).alias("column"), F.col("id").alias("row_id"), F.col("doc_id").cast("string").alias("source"), "text"
     )
-    return paragraphs.unionAll(_answers(spark, root))
+    return paragraphs.unionAll(answer_texts(spark, root))
 
 
 def _directories(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +54,7 @@ def endings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def answer_endings(spark: SparkSession, root: str) -> DataFrame:
     """Every answer that ends without a stop with the judgement of its ending, from the answers alone."""
-    return stage(judged(analysed(_answers(spark, root))), "judged")
+    return stage(judged(analysed(answer_texts(spark, root))), "judged")
 
 
 def _visible(text: str):
