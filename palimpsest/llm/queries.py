@@ -126,7 +126,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 def p9_messages(spark: SparkSession, root: str) -> DataFrame:
     """Every residual message by the hash of its normalised form, with its documents and sources."""
     found = classed_messages(table(spark, root, "documents"), "doc_id", "text", "source")
-    return recurring(found).filter("kind IS NOT NULL")
+    return recurring(found)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
