@@ -106,6 +106,11 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_column(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p7_offsets(spark: SparkSession, root: str) -> DataFrame:
+    """The token ids of every document with the byte of its text after each token."""
+    return encode_column(table(spark, root, "documents"), "doc_id", "text", offsets=True)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold at least ten consecutive words of a benchmark item."""
     docs, items = table(spark, root, "documents"), table(spark, root, "benchmark")
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p5_forms": p5_forms,
     "p7_ids": p7_ids,
+    "p7_offsets": p7_offsets,
     "p8_found": p8_found,
     "p8_near": p8_near,
     "p9_found": p9_found,
