@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palimpsest.functions.text import normalize
+from palimpsest.sources.tables import stage
 
 # Letters of other scripts with the shape of a Latin letter, in pairs (letter, Latin letter).
 LOOK_ALIKES = {
@@ -28,21 +29,42 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K",
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "Ϲ": "C", "Ϳ": "J", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p",
-    "υ": "u", "ϲ": "c", "ϳ": "j",
+    "υ": "u", "ϲ": "c", "ϳ": "j", "γ": "y", "σ": "o", "ϱ": "p",
     # Cyrillic
     "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K",
     "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
     "Х": "X", "Ү": "Y", "Ӏ": "I", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e",
     "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i",
     "ј": "j", "ѵ": "v", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ү": "y", "г": "r",
+    "ү": "y", "г": "r", "ь": "b", "ѡ": "w", "Ԍ": "G",
     # Armenian
     "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "զ": "q", "հ": "h", "ո": "n",
-    "ս": "u", "ց": "g", "օ": "o",
+    "ս": "u", "ց": "g", "օ": "o", "յ": "j",
     # Cherokee
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W",
     "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮩ": "V", "Ꮪ": "S",
-    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B", "Ꭵ": "i", "Ꭹ": "Y",
+    "Ꮍ": "Y", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮷ": "d", "Ᏻ": "G", "Ꮒ": "h",
+    "ꭵ": "i", "ꮁ": "r", "ꮃ": "w", "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮯ": "c",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P",
+    "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J",
+    "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A",
+    "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Canadian syllabics
+    "ᐯ": "V", "ᑌ": "U", "ᑭ": "P", "ᑯ": "d", "ᑲ": "b", "ᒍ": "J", "ᒪ": "L",
+    "ᕁ": "x", "ᕼ": "H", "ᖇ": "R", "ᗅ": "A", "ᗞ": "D", "ᗰ": "M", "ᗷ": "B",
+    "᙭": "X",
+    # Hebrew, Arabic, Georgian, Malayalam, Oriya, Myanmar, Ethiopic
+    "ו": "l", "ן": "l", "ס": "o", "ا": "l", "ه": "o", "ყ": "y", "ჿ": "o",
+    "ഠ": "o", "ଠ": "O", "ဝ": "o", "ሀ": "U", "ዐ": "O",
+    # Runic, Tifinagh
+    "ᚷ": "X", "ᛕ": "K", "ᛖ": "M", "ⴹ": "E", "ⵏ": "l", "ⵔ": "O", "ⵝ": "X",
+    # Latin small capitals
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
     # Latin letters of the phonetic alphabet
     "ɑ": "a", "ɡ": "g",
     # hyphens drawn like the hyphen-minus
@@ -130,12 +152,13 @@ def _hashed(least_words: int):
 
 
 def looks(rows: DataFrame, least_words: int = 1) -> DataFrame:
-    """(id, look, chars): 128-bit hashes of each text's skeleton and of its characters, every id once.
+    """(id, look, chars): 128-bit hashes of each text's skeleton and of its characters, every id once, staged as it is read several times.
 
     ``rows``: id, normalized, canonical_text.  A null canonical text is the
     empty text; where ``normalized`` is null it is derived.
     """
-    return rows.select("id", "normalized", "canonical_text").mapInArrow(_hashed(least_words), "id bigint, look binary, chars binary").distinct()
+    hashed = rows.select("id", "normalized", "canonical_text").mapInArrow(_hashed(least_words), "id bigint, look binary, chars binary")
+    return stage(hashed.distinct(), "looks")
 
 
 def look_groups(rows: DataFrame, least_words: int = 1) -> DataFrame:
