@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,15 @@ FUNCTION_WORDS = frozenset(
 SHORT = 0.22
 
 
+#: Of ASCII: what is neither letter nor digit, and what is blank or a control character.
+_NO_WORD = {c: None for c in range(128) if not chr(c).isalnum()}
+_NOT_SHOWN = {c: None for c in (*range(33), 127)}
+
+
 def folded(text: str) -> str:
     """Letters and digits of a text's skeleton, without case."""
+    if text.isascii():
+        return text.lower().translate(_NO_WORD)
     return "".join(c for c in skeleton(text).casefold() if c.isalnum() or unicodedata.category(c) == "Mn")
 
 
@@ -111,10 +119,14 @@ _DECLINE_MARKS = (
     *("申し訳", "できません", "죄송", "번역할 수", "도와드릴 수", "답변할 수"),
 )
 _LATIN_RUN = re.compile(r"[a-z]{2}")
+#: Han characters and all that a skeleton may turn into one.
+_HAN_LIKE = re.compile("[\u2e80-\u9fff\uf900-\ufaff\ufe30-\ufe4f\U0001f200-\U0001f2ff\U00020000-\U0003ffff]")
 _SPEAKS = re.compile(r"[^\W_]")
 
 
 def _shown(text: str) -> str:
+    if text.isascii():
+        return text.translate(_NOT_SHOWN)
     return "".join(c for c in text if unicodedata.category(c)[0] not in "ZC")
 
 
@@ -123,28 +135,39 @@ def _caseless(text: str) -> str:
     return text.replace("İ", "i").replace("ı", "i").casefold()
 
 
-def declines(unquoted: str) -> bool:
+def declines(unquoted: str, low: str | None = None) -> bool:
     """Whether ``_DECLINES`` finds something; the expression itself only runs where one of its marks stands."""
-    low = _caseless(unquoted)
+    low = _caseless(unquoted) if low is None else low
     return any(m in low for m in _DECLINE_MARKS) and bool(_DECLINES.search(unquoted))
 
 
-def asks_back(unquoted: str) -> bool:
+def asks_back(unquoted: str, low: str | None = None) -> bool:
     """Whether ``_ASKS_BACK`` finds something, by way of its marks likewise."""
-    low = _caseless(unquoted)
+    low = _caseless(unquoted) if low is None else low
     return any(m in low for m in _ASK_MARKS) and bool(_ASKS_BACK.search(unquoted))
 
 
-#: A text that speaks of itself or its writer, and words about translating and helping.
-_SELF = re.compile(
-    r"我(?!们|国|方|军)|本(?:助手|模型|系统无法)|\b(?:I|me|my|I.m|myself)\b|\bas an? (?:ai|assistant|large|language)\b|\b(?:ich|mir|mein\w*)\b|\b(?:je|j.ai|mon|moi)\b|\b(?:yo|puedo|siento|mío)\b|\b(?:io|posso)\b|\b(?:eu|não posso)\b|\b(?:я|мне|могу)\b|私|わたし|저는|제가",
-    re.I,
-)
-_TALK = re.compile(
-    r"翻译|译文|译员|请求|要求被|回答|答复|协助|帮助您|帮到|上下文|语境|敏感|政策|规定(?:不|所)|抱歉|对不起|\btranslat\w+|\brequest\b|\bassist\b|\bhelp\b|\banswer\b|\bcontext\b|\bpolicy\b|\bcomply\b|\bsorry\b|\bapolog\w+|\bclarif\w+|\brephras\w+|\bdeclin\w+|\brefus\w+"
-    r"|übersetz\w*|anfrage|kontext|traduire|traduction|demande|contexte|traducir|traducción|solicitud|contexto|contesto|tradurre|перевести|перевод\w*|запрос\w*|контекст\w*|翻訳|文脈|お手伝い|번역|문맥|요청",
-    re.I,
+#: A text that speaks of itself or its writer, and words (by how they begin) about translating and helping.
+_SELF_MARKS = re.compile("我(?!们|国|方|军)|本(?:助手|模型|系统无法)|私|わたし|저는|제가")
+_SELF_WORDS = frozenset("i me my myself ai ich mir mein meine meiner je mon moi yo puedo siento mío io posso eu я мне могу".split())
+_TALK_MARKS = re.compile("翻译|译文|译员|请求|要求被|回答|答复|协助|帮助您|帮到|上下文|语境|敏感|政策|规定(?:不|所)|抱歉|对不起|翻訳|文脈|お手伝い|번역|문맥|요청")
+_TALK_WORDS = tuple(
+    "translat request assist help answer context policy comply sorry apolog clarif rephras declin refus übersetz anfrage kontext traduire traduction demande contexte traducir traducción solicitud contexto contesto tradurre перевести перевод запрос контекст".split()
 )
+
+
+def _speaks_of_itself(text: str, words: set[str]) -> bool:
+    return not words.isdisjoint(_SELF_WORDS) or not text.isascii() and bool(_SELF_MARKS.search(text))
+
+
+def _talks(text: str, words: set[str]) -> bool:
+    return any(w.startswith(_TALK_WORDS) for w in words) or not text.isascii() and bool(_TALK_MARKS.search(text))
+
+
+def _word_set(text: str) -> set[str]:
+    return set(_LETTERS.findall(text.lower()))
+
+
 _COMMON_HAN = re.compile("[的了在是并将与和及应请不为至从到时后前该此或再由于]")
 _KANA = re.compile("[\u3040-\u30ff\u31f0-\u31ff]")
 _HAN_STOP = re.compile("[。，、；：]")
@@ -156,18 +179,20 @@ LONG_ENOUGH = 0.3
 BARRED = -2
 
 
-def _refusal(source: str, unquoted: str, values: set[str], told: set[str], refuses: bool, asks: bool, declines_: bool, recurs: int | None) -> tuple[int, ...]:
-    if unquoted.isascii() or not _SOURCE_ASKS.search(source):
-        talk = 1 if _TALK.search(unquoted) and not _TALK.search(source) else -1
-    else:
-        talk = 0
+def _refusal(source: str, unquoted: str, values: set[str], told: set[str], asks: bool, declines_: bool, recurs: int | None) -> tuple[int, ...]:
+    words = _word_set(unquoted)
+    talk, itself = _talks(unquoted, words), _speaks_of_itself(unquoted, words)
+    if talk or itself:  # a source that says so itself explains it
+        theirs = _word_set(source)
+        talk &= not _talks(source, theirs)
+        itself &= not _speaks_of_itself(source, theirs)
     return (
         1 if declines_ else -1,
         1 if asks else (0 if _ASKS.search(unquoted) else -1),
         1 if _OPENS.match(unquoted) else -1,
-        1 if _SELF.search(unquoted) and not _SELF.search(source) else -1,
+        1 if itself else -1,
         0 if not values else (-1 if values & told else 1),
-        talk,
+        1 if talk else -1,
         0 if recurs is None or len(unquoted) < LEAST_RECURRING_CHARS else (1 if recurs >= LEAST_RECURRENCE else -1),
     )
 
@@ -209,8 +234,8 @@ def _wrong_language(source: str, answer: str, n_han: int) -> tuple[int, ...]:
     n_other = len(_OTHER_SCRIPT.findall(plain))
     words = [w for w in _LETTERS.findall(plain) if len(w) > 1 and not w.isupper() and not _HAN.search(w)]
     letters = n_han + max(n_other, sum(map(len, words)))
-    low = source.casefold()
     low_words = {w.casefold() for w in words}
+    low = source.casefold() if len(low_words) >= 3 else ""
     foreign = sum(w not in low for w in low_words)
     return (
         0 if not letters else (1 if letters >= 6 and n_han < 0.1 * letters else (-1 if n_han >= 0.5 * letters else 0)),
@@ -254,12 +279,13 @@ def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool,
     if not speaks:
         return empty, *((BARRED,) * n for n in (7, 7, 6, 6))
     unquoted = _QUOTED.sub(" ", answer if answer.isascii() else unicodedata.normalize("NFKC", answer))
-    asks, declines_ = asks_back(unquoted) and not _SOURCE_ASKS.search(source), declines(unquoted)
+    low = _caseless(unquoted)
+    asks, declines_ = asks_back(unquoted, low) and not _SOURCE_ASKS.search(source), declines(unquoted, low)
     refuses = asks or declines_
-    refusal = _refusal(source, unquoted, values, told, refuses, asks, declines_, recurs)
+    refusal = _refusal(source, unquoted, values, told, asks, declines_, recurs)
     n_han = len(_HAN.findall(answer))
     wrapped = source.replace("-\n", "")
-    if n_han and wrapped.isascii():  # the skeleton keeps Han characters, so nothing with one of them equals ASCII
+    if n_han and (wrapped.isascii() or not _HAN_LIKE.search(wrapped)):  # the skeleton keeps Han characters, so nothing with one of them equals a text without
         same = given_back = False
         copied = (-1, -1, -1, -1, -1, 0 if values == told else -1, -1) if _words(wrapped) >= LEAST_COPIED_WORDS else (BARRED,) * 7
     else:
@@ -273,7 +299,28 @@ def votes(source: str | None, answer: str | None, cut: bool, source_stops: bool,
 
 
 def _words(text: str) -> int:
-    return sum(map(bool, map(_LETTERS.search, text.split())))
+    """How many pieces hold a letter; counted as far as it matters."""
+    n = 0
+    for w in text.split():
+        n += w.isalpha() or bool(_LETTERS.search(w))
+        if n > LEAST_COPIED_WORDS:
+            break
+    return n
+
+
+#: Shorter pairs repeat often; what they got is kept for so many of them.
+KEPT_PAIRS, KEPT_CHARS = 50_000, 120
+
+
+@lru_cache(maxsize=KEPT_PAIRS)
+def _kept_codes(*pair) -> tuple[int, ...]:
+    return tuple(map(encode_votes, votes(*pair)))
+
+
+def _codes(source: str | None, answer: str | None, *rest) -> tuple[int, ...]:
+    if len(source or "") + len(answer or "") <= KEPT_CHARS:
+        return _kept_codes(source, answer, *rest)
+    return tuple(map(encode_votes, votes(source, answer, *rest)))
 
 
 def _against(defective: float, sound: float) -> tuple[tuple[float, float, float], ...]:
@@ -347,7 +394,7 @@ def fit(defect: str, counts: dict[int, int], rounds: int = 50) -> dict[int, floa
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         given = zip(*(b[x].to_pylist() for x in ("source_text", "answer", "cut", "source_stops", "recurs", "at_limit")), strict=True)
-        codes = [[encode_votes(v) for v in votes(*row)] for row in given]
+        codes = [_codes(*row) for row in given]
         columns = list(zip(*codes, strict=True)) if codes else [()] * len(DEFECTS)
         yield pa.RecordBatch.from_arrays([b["pair_id"], *(pa.array(c, pa.int32()) for c in columns)], ["pair_id", *DEFECTS])
 
