@@ -19,7 +19,11 @@ BROKEN_IDENTIFIER = "[\\u4e00-\\u9fff]_[A-Za-z0-9]|[A-Za-z0-9]_[\\u4e00-\\u9fff]
 HAN_BASIC = "[\\u4e00-\\u9fff]"
 DESIGNATION = "^[A-Z0-9][A-Z0-9 ._/()%,\\u00b0+#'\":\\u2013\\u2014-]*\\z"
 PUNCTUATION_ONLY = "^[\\s\\u3002\\uff0c\\u3001\\uff1b\\uff1a\\uff01\\uff1f,.!?;:\\u2026\\u2014\\u2013\"'\\u201c\\u201d\\u2018\\u2019()\\uff08\\uff09\\u3010\\u3011\\[\\]-]*\\z"
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "not", "when")
+STOP_WORDS = (
+    "the and for that with from this these those are was were has have had not but you your its into out over"
+    " under then than when while will shall can may must should could would about after before being been done"
+    " only such same each other more most some any all any who whom which what there their they them his her"
+).split()
 TOKENS_PER_OTHER = 3.6
 WIDTHS = {"han": 1.0, "upper": 0.667, "lower": 0.5, "digit": 0.556, "blank": 0.278}
 
@@ -186,17 +190,23 @@ def estimated_width(c: Column, size: Column) -> Column:
     return (han * WIDTHS["han"] + up * WIDTHS["upper"] + digit * WIDTHS["digit"] + blank * WIDTHS["blank"] + rest * WIDTHS["lower"]) * size
 
 
-def line_kind(c: Column) -> Column:
-    """list_item, caption, heading, toc, number_unit or text, the first whose pattern holds."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return (
-        F.when(t.rlike("^(\\u2022|-|\\*|\\([0-9a-z]{1,2}\\)|[0-9]{1,2}\\))[ ]"), "list_item")
-        .when(t.rlike("^(Figure|Table|Fig\\.) [0-9]+(-[0-9]+)?"), "caption")
-        .when(t.rlike("^[0-9]+(\\.[0-9]+)+ [A-Z]"), "heading")
-        .when(t.rlike("[.\\u00b7]{4,} *[0-9-]+$"), "toc")
-        .when(t.rlike("^[0-9]+([.,][0-9]+)? ?[A-Za-z/%]{1,4}$"), "number_unit")
-        .otherwise("text")
-    )
+# The forms of lines.
+_W, _NW = f"[{_WHITE}]", NOT_WHITE
+LINE_MARKS = {
+    "list_item": f"^(?:[\u2022\u25aa\u25e6\u2023\u00b7\u2219\u25cf\u25cb\u2013\u2014*\\-]|\\(?\\p{{Nd}}{{1,3}}[.)]|\\(?[a-zA-Z][.)]|\\(?[ivxIVX]{{1,4}}[.)]){_W}+{_NW}",
+    "numbered": f"^\\(?\\p{{Nd}}+(?:\\.\\p{{Nd}}+)*[.)]?{_W}+{_NW}",
+    "roman": f"^\\(?[IVXLC]{{1,5}}[.)]{_W}+[A-Z]",
+    "caption": f"^(?i:figure|fig\\.?|table|chart|picture|image){_W}*[\\p{{Nd}}A-Za-z]",
+    "toc_line": f"\\.{{3,}}{_W}*\\p{{Nd}}+{_W}*\\z",
+    "toc_tail": f"\\.{{3,}}{_W}*\\p{{Nd}}*{_W}*\\z",
+    "quantity": f"\\p{{Nd}}[\\p{{Nd}},]*(?:\\.\\p{{Nd}}+)?{_W}*(?i:knots?|kts?|feet|foot|ft|psi|percent|%|seconds?|sec|minutes?|min|degrees?|deg|miles?|nm|nautical miles?|gallons?|lbs?|pounds?|inches|inch|in\\b)",
+}
+
+
+def line_marks(c: Column) -> Column:
+    """A struct of booleans, one for each form a text may have; forms do not exclude each other.  Null has none."""
+    t = F.coalesce(c, F.lit(""))
+    return F.struct(*(t.rlike(pattern).alias(name) for name, pattern in LINE_MARKS.items()))
 
 
 def rewrite_number(c: Column) -> Column:

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import fingerprint, normalize
+from palimpsest.functions.scalars import STOP_WORDS
+from palimpsest.functions.text import digest, normalize
 from palimpsest.functions.textdiff import ratio
 
 # Thresholds and limits of the alignment.
@@ -29,13 +30,8 @@ GROUP_BUDGET, GROUP_FREE = 20_000, 600
 BLOCK_PRODUCT = 120_000
 ANCHOR_WORK = 2_000_000
 KIND_RANK = {"added": 0, "modified": 1, "unchanged": 2, "moved": 3, "reordered": 4, "split": 5, "merged": 6, "removed": 7}
-# Words without content of their own.
-STOP_WORDS = frozenset(
-    "the and for that with from this these those are was were has have had not but you your its into out over"
-    " under then than when while will shall can may must should could would about after before being been done"
-    " only such same each other more most some any all any who whom which what there their they them his her".split()
-)
 _TOKEN = re.compile(r"[a-z0-9]{3,}")
+_STOP_WORDS = frozenset(STOP_WORDS)
 
 
 def length_ratio(a: str, b: str) -> float:
@@ -45,7 +41,7 @@ def length_ratio(a: str, b: str) -> float:
 
 
 def tokens(text: str) -> frozenset[str]:
-    return frozenset(_TOKEN.findall(text.casefold())) - STOP_WORDS
+    return frozenset(_TOKEN.findall(text.casefold())) - _STOP_WORDS
 
 
 def containment(a: frozenset[str], b: frozenset[str]) -> float:
@@ -66,7 +62,7 @@ class Side:
 
     def __post_init__(self) -> None:
         self.norms = [normalize(t) for t in self.texts]
-        self.prints = [fingerprint(t) for t in self.texts]
+        self.prints = [digest(t.casefold()) for t in self.norms]
 
     def joined(self, run: Iterable[int]) -> str:
         return " ".join(self.texts[k] for k in run)
@@ -98,6 +94,7 @@ class Alignment:
         self.groups: list[Group] = []
         self.removed: list[int] = []
         self.added: list[int] = []
+        self._ratios: dict[tuple[int, int], float] = {}
         self._anchor()
         self._sequence()
 
@@ -167,6 +164,7 @@ class Alignment:
         words_old = {i: tokens(self.old.texts[i]) for i in olds} if strict else {}
         words_new = {j: tokens(self.new.texts[j]) for j in news} if strict else {}
         candidates = []
+        matchers: dict[int, difflib.SequenceMatcher] = {}
         for x, i in enumerate(olds):
             span = range(len(news)) if reach is None else range(max(0, x - reach), min(len(news), x + reach + 1))
             for y in span:
@@ -175,7 +173,7 @@ class Alignment:
                     continue
                 if strict and containment(words_old[i], words_new[j]) < REST_CONTAINMENT:
                     continue
-                r = ratio(self.old.texts[i], self.new.texts[j])
+                r = self._alike(matchers, i, j, least)
                 if r >= least:
                     candidates.append((-r, abs(x - y), x, y))
         taken = []
@@ -187,6 +185,22 @@ class Alignment:
                 taken.append((-r, i, j))
         return taken
 
+    def _alike(self, matchers: dict[int, difflib.SequenceMatcher], i: int, j: int, least: float) -> float:
+        """The ratio of two segments if it reaches ``least``, else 0.  Upper bounds come first; a matcher keeps what it knows of the new text."""
+        a, b = self.old.norms[i], self.new.norms[j]
+        if a == b or not a or not b:
+            return float(a == b)
+        r = self._ratios.get((i, j))
+        if r is None:
+            matcher = matchers.get(j)
+            if matcher is None:
+                matcher = matchers[j] = difflib.SequenceMatcher(None, "", b)
+            matcher.set_seq1(a)
+            if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
+                return 0.0
+            r = self._ratios[i, j] = matcher.ratio()
+        return r
+
     def _grow(self, olds: list[int], news: list[int], scored: dict[tuple[int, int], float], free_old: set[int], free_new: set[int]) -> list[Group]:
         """Splits and merges: runs of two to four neighbours that together are like one segment of the other side."""
         place_old, place_new = ({x: p for p, x in enumerate(xs)} for xs in (olds, news))
@@ -205,7 +219,11 @@ class Alignment:
                         yield run
 
         def consider(kind: str, old: tuple[int, ...], new: tuple[int, ...], pair: tuple[int, int] | None) -> None:
-            score = ratio(self.old.joined(old), self.new.joined(new))
+            least = max(GROUP_RATIO, scored[pair] + GROUP_GAIN) if pair else GROUP_RATIO
+            a, b = normalize(self.old.joined(old)), normalize(self.new.joined(new))
+            if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):  # no ratio exceeds this
+                return
+            score = ratio(a, b)
             if score >= GROUP_RATIO and (pair is None or score >= scored[pair] + GROUP_GAIN):
                 found.append(Group(kind, old, new, round(score, 6), pair))
 
@@ -262,7 +280,7 @@ class Alignment:
         out = []
         for i, j in pairs:
             if (i, j) not in equal:
-                kind, r = "modified", ratio(o.texts[i], n.texts[j])
+                kind, r = "modified", self._ratios.get((i, j)) or ratio(o.texts[i], n.texts[j])
             else:
                 kind, r = ("moved" if o.pages[i] != n.pages[j] else "reordered" if (i, j) in reordered else "unchanged"), 1.0
             out.append(((float(j), KIND_RANK[kind], o.orders[i], n.orders[j]), (kind, [o.ids[i]], [n.ids[j]], r, o.pages[i], n.pages[j])))
@@ -310,6 +328,34 @@ def align(segments: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.join(places, "version_id").drop("version_id").groupBy("step").applyInPandas(_kernel, CHANGES)
 
 
+def revisions(segments: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, revision): a name of what both sides of a step hold, whatever the order rows come in."""
+    rows = segments.filter("id IS NOT NULL").select("version_id", "id", "page", "order_index", "text").distinct()
+    of_version = rows.groupBy("version_id").agg(F.sum(F.xxhash64("id", "page", "order_index", "text").cast("decimal(38,0)")).alias("h"))
+    side = lambda c, name: of_version.select(F.col("version_id").alias(c), F.col("h").alias(name))
+    both = steps.join(side("from_version", "a"), "from_version", "left").join(side("to_version", "b"), "to_version", "left")
+    return both.select(F.col("to_version").alias("step"), F.xxhash64("from_version", "a", "b").alias("revision"))
+
+
+def align_stored(segments: DataFrame, steps: DataFrame, path: str) -> DataFrame:
+    """The changes of every step, taken from ``path`` where it holds them for what the versions hold now; others are aligned and added.
+
+    Rows of former revisions stay in the store and are not read.  The store is
+    one folder of parquet; writers of one store take turns.
+    """
+    spark = segments.sparkSession
+    want = revisions(segments, steps)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        held = spark.read.parquet(path).select("step", "revision").distinct()
+        todo = want.join(held, ["step", "revision"], "left_anti")
+    else:
+        todo = want
+    missing = steps.join(todo.select(F.col("step").alias("to_version")), "to_version", "left_semi")
+    align(segments, missing).join(todo, "step").write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(want, ["step", "revision"], "left_semi").drop("revision")
+
+
 def change_counts(changes: DataFrame) -> DataFrame:
     """Counts per step and kind with the segments that groups hold on each side."""
     return changes.groupBy("step", "change_kind").agg(

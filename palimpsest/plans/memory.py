@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.glossary import enforce_col, pseudo_translate_col
 from palimpsest.operators import memory as M
 from palimpsest.operators import relational as R
-from palimpsest.operators.alignment import align, change_counts, links
+from palimpsest.operators.alignment import align, align_stored, change_counts, links
 from palimpsest.plans.changes import version_steps
 from palimpsest.plans.store import B, C, S, SEEN, V, body, cache, current, segments, translations, versions
 from palimpsest.plans.store import M as CACHE
-from palimpsest.sources.tables import table
+from palimpsest.sources.tables import staging_root, table
 
 QUERIES, SQL = {}, {}
 
@@ -175,9 +177,13 @@ def pseudo_translations(spark: SparkSession, root: str) -> DataFrame:
     return texts.select("id", "n", pseudo_translate_col(table(spark, root, "glossary"), F.col("text")).alias("answer"))
 
 
-def _aligned(spark: SparkSession, root: str) -> DataFrame:
+def _body_texts(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "segments").filter("role = 'body'").select("version_id", "id", "page", "order_index", F.coalesce(F.nullif("canonical_text", F.lit("")), "text").alias("text"))
-    return align(rows, version_steps(spark, root))
+    return rows
+
+
+def _aligned(spark: SparkSession, root: str) -> DataFrame:
+    return align(_body_texts(spark, root), version_steps(spark, root))
 
 
 @query()
@@ -196,3 +202,12 @@ def diff_counts(spark: SparkSession, root: str) -> DataFrame:
 def diff_links(spark: SparkSession, root: str) -> DataFrame:
     """Edges from old to new segments."""
     return links(_aligned(spark, root))
+
+
+@query()
+def diff_reused(spark: SparkSession, root: str) -> DataFrame:
+    """Changes by kind out of a store that is filled by a first call and only read by a second."""
+    rows, steps = _body_texts(spark, root), version_steps(spark, root)
+    path = f"{staging_root(spark)}/palimpsest/{uuid.uuid4().hex}/changes"
+    align_stored(rows, steps, path)
+    return change_counts(align_stored(rows, steps, path))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions.textdiff import char_diffs_col, ratio_col, word_diff_col
 from palimpsest.operators import relational as R
 from palimpsest.operators import restore as O
+from palimpsest.operators.alignment import change_counts
 from palimpsest.operators.hyphens import decisions, vocabulary
 from palimpsest.plans.changes import version_steps
 from palimpsest.plans.memory import _aligned
-from palimpsest.plans.order import diff_counts_relational
 from palimpsest.plans.store import S, body, current, segments
 from palimpsest.sources.files import backup_rows
 from palimpsest.sources.tables import table
@@ -58,8 +58,8 @@ def restored_translations(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def change_report(spark: SparkSession, root: str) -> DataFrame:
-    """A line of Markdown per kind of change and step."""
-    counts = diff_counts_relational(spark, root).withColumnRenamed("to_version", "step")
+    """A line of Markdown per kind of change and step, from the exact alignment."""
+    counts = change_counts(_aligned(spark, root)).select("step", "change_kind", "n")
     kinds = ("unchanged", "modified", "added", "removed", "moved", "reordered", "split", "merged")
     return O.summary_text(R.zero_filled(counts, ["step"], "change_kind", kinds))
 

@@ -197,24 +197,24 @@ def fp_set_difference(spark: SparkSession, root: str, derive: bool = False) -> D
 
 
 @query(f"""WITH {B}, {V}, p AS (SELECT version_id AS old_v, lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_no, version_id) AS new_v FROM v WHERE version_id IN (SELECT version_id FROM segments)),
-o AS (SELECT new_v, page, order_index, fingerprint, min(id) AS old_id FROM p JOIN s ON s.version_id = old_v GROUP BY ALL),
-f AS (SELECT new_v, fingerprint, min(old_id) AS old_id FROM o WHERE fingerprint IS NOT NULL GROUP BY ALL)
-SELECT s.id AS new_id, coalesce(a.old_id, f.old_id) AS old_id, CASE WHEN a.old_id IS NOT NULL THEN 'place' ELSE 'fingerprint' END AS tier
-FROM p JOIN s ON s.version_id = p.new_v LEFT JOIN o a ON a.new_v = p.new_v AND a.page = s.page AND a.order_index = s.order_index AND a.fingerprint = s.fingerprint
-LEFT JOIN f ON f.new_v = p.new_v AND f.fingerprint = s.fingerprint WHERE coalesce(a.old_id, f.old_id) IS NOT NULL""")
+o AS (SELECT new_v, page, order_index, fingerprint, id FROM p JOIN s ON s.version_id = old_v WHERE new_v IS NOT NULL),
+place AS (SELECT new_v, page, order_index, min(id) AS old_id FROM o GROUP BY ALL), print AS (SELECT new_v, fingerprint, min(id) AS old_id FROM o WHERE fingerprint IS NOT NULL GROUP BY ALL)
+SELECT s.id AS new_id, coalesce(place.old_id, print.old_id) AS old_id, CASE WHEN place.old_id IS NOT NULL THEN 'place' ELSE 'fingerprint' END AS tier
+FROM p JOIN s ON s.version_id = p.new_v LEFT JOIN place ON place.new_v = p.new_v AND place.page = s.page AND place.order_index = s.order_index
+LEFT JOIN print ON print.new_v = p.new_v AND print.fingerprint = s.fingerprint WHERE coalesce(place.old_id, print.old_id) IS NOT NULL""")
 def migrate_coalesce(spark: SparkSession, root: str, derive: bool = False) -> DataFrame:
-    """Old counterparts of new segments: equal place and text first, equal text else (J09 tiers 1-2, J10, J11)."""
+    """Old counterparts of new segments: those at the same page and position first, those of equal fingerprint else."""
     from palimpsest.plans.changes import version_steps
 
     steps = version_steps(spark, root)
-    s = body(spark, root, "version_id", "page", "order_index", "fingerprint", derive=derive).filter("fingerprint IS NOT NULL")
+    s = body(spark, root, "version_id", "page", "order_index", "fingerprint", derive=derive)
     old = steps.join(s.withColumnRenamed("version_id", "from_version"), "from_version")
-    by_place = old.groupBy("to_version", "page", "order_index", "fingerprint").agg(F.min("id").alias("at_place"))
-    by_text = by_place.groupBy("to_version", "fingerprint").agg(F.min("at_place").alias("by_text"))
+    by_place = old.groupBy("to_version", "page", "order_index").agg(F.min("id").alias("at_place"))
+    by_text = old.filter("fingerprint IS NOT NULL").groupBy("to_version", "fingerprint").agg(F.min("id").alias("by_text"))
     new = steps.select("to_version").join(s.withColumnRenamed("version_id", "to_version"), "to_version")
-    found = new.join(by_text, ["to_version", "fingerprint"]).join(by_place, ["to_version", "page", "order_index", "fingerprint"], "left")
+    found = new.join(by_place, ["to_version", "page", "order_index"], "left").join(by_text, ["to_version", "fingerprint"], "left")
     tier = F.when(F.col("at_place").isNotNull(), "place").otherwise("fingerprint")
-    return found.select(F.col("id").alias("new_id"), F.coalesce("at_place", "by_text").alias("old_id"), tier.alias("tier"))
+    return found.select(F.col("id").alias("new_id"), F.coalesce("at_place", "by_text").alias("old_id"), tier.alias("tier")).filter("old_id IS NOT NULL")
 
 
 @query(f"""WITH {B} SELECT g.en, count(*) AS n FROM glossary g JOIN s ON CASE WHEN g.case_sensitive THEN contains(s.text, g.en) ELSE contains(lower(s.text), lower(g.en)) END GROUP BY g.en""")

@@ -55,14 +55,24 @@ def normalized_whole(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", n.alias("t")).select("doc_id", F.char_length("t").cast("bigint").alias("n"), F.md5(F.lower("t")).alias("print"))
 
 
-_KIND = """CASE WHEN regexp_matches(t, '^(•|-|\\*|\\([0-9a-z]{1,2}\\)|[0-9]{1,2}\\))[ ]') THEN 'list_item' WHEN regexp_matches(t, '^(Figure|Table|Fig\\.) [0-9]+(-[0-9]+)?') THEN 'caption'
-WHEN regexp_matches(t, '^[0-9]+(\\.[0-9]+)+ [A-Z]') THEN 'heading' WHEN regexp_matches(t, '[.·]{4,} *[0-9-]+$') THEN 'toc' WHEN regexp_matches(t, '^[0-9]+([.,][0-9]+)? ?[A-Za-z/%]{1,4}$') THEN 'number_unit' ELSE 'text' END"""
-
-
-@query(f"WITH {B}, x AS (SELECT kind, trim(text, ' ') AS t FROM s), y AS (SELECT kind, {_KIND} AS guessed FROM x) SELECT kind, guessed, count(*) AS n FROM y GROUP BY ALL")
+_BLANK = r"[\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_INK = _BLANK.replace("[", "[^", 1)
+
+
+@query(
+    f"""WITH {B} SELECT kind, count(*) AS n,
+count(*) FILTER (WHERE regexp_matches(text, '^([•▪◦‣·∙●○–—*-]|\\(?\\p{{Nd}}{{1,3}}[.)]|\\(?[a-zA-Z][.)]|\\(?[ivxIVX]{{1,4}}[.)]){_BLANK}+{_INK}')) AS n_list,
+count(*) FILTER (WHERE regexp_matches(text, '^\\(?\\p{{Nd}}+(\\.\\p{{Nd}}+)*[.)]?{_BLANK}+{_INK}')) AS n_numbered, count(*) FILTER (WHERE regexp_matches(text, '^\\(?[IVXLC]{{1,5}}[.)]{_BLANK}+[A-Z]')) AS n_roman,
+count(*) FILTER (WHERE regexp_matches(text, '^(?i:figure|fig\\.?|table|chart|picture|image){_BLANK}*[\\p{{Nd}}A-Za-z]')) AS n_caption,
+count(*) FILTER (WHERE regexp_matches(text, '\\.{{3,}}{_BLANK}*\\p{{Nd}}+{_BLANK}*$')) AS n_toc_line, count(*) FILTER (WHERE regexp_matches(text, '\\.{{3,}}{_BLANK}*\\p{{Nd}}*{_BLANK}*$')) AS n_toc_tail,
+count(*) FILTER (WHERE regexp_matches(text, '\\p{{Nd}}[\\p{{Nd}},]*(\\.\\p{{Nd}}+)?{_BLANK}*(?i:knots?|kts?|feet|foot|ft|psi|percent|%|seconds?|sec|minutes?|min|degrees?|deg|miles?|nm|nautical miles?|gallons?|lbs?|pounds?|inches|inch|in\\b)')) AS n_quantity
+FROM s GROUP BY kind"""
+)
 def line_kinds(spark: SparkSession, root: str) -> DataFrame:
-    """Kinds guessed from a text's form against the stored ones."""
-    return body(spark, root, "kind", "text").groupBy("kind", X.line_kind(F.col("text")).alias("guessed")).agg(F.count(F.lit(1)).alias("n"))
+    """How many texts of each stored kind have each of the line forms."""
+    rows = body(spark, root, "kind", "text").select("kind", X.line_marks(F.col("text")).alias("m"))
+    names = {"list_item": "n_list"} | {m: f"n_{m}" for m in X.LINE_MARKS if m != "list_item"}
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("m")[m]).alias(name) for m, name in names.items()))
 
 
 @query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'doc' ELSE s END AS slug, s || '-' || doc_id = slug AS agrees FROM (SELECT doc_id, slug, regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^0-9a-z\x{4e00}-\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM manuals)""")
@@ -111,9 +121,13 @@ def translation_verdicts(spark: SparkSession, root: str) -> DataFrame:
     return t.select("id", X.suspect(en, zh).alias("why"), X.shape_ok(en, zh).alias("fits"), X.classify_translation(zh, en, F.col("status")).alias("class"), X.looks_broken_identifier(F.coalesce(zh, F.lit(""))).alias("broken"))
 
 
+# The stop words once more, for the SQL.
+_STOP_WORDS = """string_split('the and for that with from this these those are was were has have had not but you your its into out over under then than when while will shall can may must should could would about after before being been done only such same each other more most some any all who whom which what there their they them his her', ' ')"""
+
+
 @query(f"""WITH {B}, w AS (SELECT version_id, id, text AS a, lead(id) OVER o AS next_id, lead(text) OVER o AS b FROM s WINDOW o AS (PARTITION BY version_id ORDER BY order_index, id)),
-k AS (SELECT id, next_id, a, b, list_filter(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(['the','and','for','with','that','this','from','are','not','when'], x)) AS ta,
-list_filter(list_distinct(regexp_extract_all(lower(b), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains(['the','and','for','with','that','this','from','are','not','when'], x)) AS tb FROM w WHERE b IS NOT NULL)
+k AS (SELECT id, next_id, a, b, list_filter(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains({_STOP_WORDS}, x)) AS ta,
+list_filter(list_distinct(regexp_extract_all(lower(b), '[a-z0-9]{{3,}}')), lambda x: NOT list_contains({_STOP_WORDS}, x)) AS tb FROM w WHERE b IS NOT NULL)
 SELECT id, next_id, round(CASE WHEN least(len(ta), len(tb)) < 3 THEN 0.0 ELSE len(list_intersect(ta, tb)) / least(len(ta), len(tb)) END, 6) AS contained,
 round(least(length(a), length(b)) / greatest(length(a), length(b)), 6) AS lengths FROM k""")
 def neighbour_containment(spark: SparkSession, root: str) -> DataFrame:

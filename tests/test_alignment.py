@@ -101,3 +101,24 @@ def test_dataframe_form(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "version_id bigint, id bigint, page int, order_index int, text string")
     assert align(none, spark.createDataFrame([], "from_version bigint, to_version bigint")).count() == 0
+
+
+def test_stored_alignment_is_reused_and_follows_edits(spark, tmp_path):
+    from palimpsest.operators.alignment import align, align_stored, revisions
+
+    texts = ["Drain the left pump before service.", "Close the aft valve and tag it.", "Record the reading of the gauge."]
+    rows = [(v, 100 * v + i, 1, i, t) for v in (1, 2, 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "version_id bigint, id bigint, page int, order_index int, text string").selectExpr("*", "1 AS revision", "2 AS step")
+    steps = spark.createDataFrame([(1, 2), (2, 3)], "from_version bigint, to_version bigint")
+    path = f"{tmp_path}/store"
+    key = lambda d: sorted(map(str, d.select("step", "position", "change_kind", "old_ids", "new_ids", "ratio").collect()))
+    assert key(align_stored(df, steps, path)) == key(align(df, steps))
+    files = {f.name for f in (tmp_path / "store").glob("part-*")}
+    before = spark.read.parquet(path).count()
+    assert key(align_stored(df, steps, path)) == key(align(df, steps))
+    assert spark.read.parquet(path).count() == before and files <= {f.name for f in (tmp_path / "store").glob("part-*")}
+    edited = spark.createDataFrame([(v, i, p, o, t.replace("aft", "fore") if v == 3 else t) for v, i, p, o, t in rows], "version_id bigint, id bigint, page int, order_index int, text string")
+    assert key(align_stored(edited, steps, path)) == key(align(edited, steps))
+    assert spark.read.parquet(path).count() == before + 3  # only the second step was aligned anew
+    assert {r.step for r in revisions(edited, steps).collect()} == {2, 3}
+    assert align_stored(df.limit(0), steps.limit(0), f"{tmp_path}/none").count() == 0

@@ -110,3 +110,20 @@ def test_whole_text_queries_against_python(spark, tmp_path):
         return re.sub("[^A-Z0-9]", "", t.upper()), code, bucket
 
     assert run("label_forms_whole") == {i: (*form(t), 0x10, 0x20, 0x30 + i) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(
+    ("line", "following", "how", "why"),
+    [
+        (" 1-", "word", "space", "list number"), ("opera-", "(tions", "soft", "suffix"), ("over-", '"see', "hard", "compound"), ("opera-", "中文", "space", "no word follows"), ("50-", "50", "hard", "capital or digit follows"),
+        ("#5-", "#8", "hard", "no letters"), ("word -", "x", "space", "free-standing hyphen"), ("•-", "x", "space", "bullet"), ("• -", "x", "space", "free-standing hyphen"), ("R-", "aero", "hard", "single character"), ("x", "", "space", "no hyphen"), ("x-", " ", "space", "no next line"),
+    ],
+)
+def test_hyphen_reasons(line, following, how, why):
+    assert D.hyphen_join(line, following) == (how, why)
+
+
+def test_counts_decide_between_both_forms():
+    assert D.hyphen_join("pres-", "sure", {"pressure": 2, "pres-sure": 2}) == ("hard", "compound")
+    assert D.hyphen_join("opera-", "tion", {"opera-tion": 1}) == ("hard", "compound")
+    assert D.dehyphenate(["air-", "to-", "air", "fight"], {"air-to-air": 5}) == "air-to-air fight"
