@@ -126,3 +126,22 @@ def test_prompt_records_of_the_whole_plan(spark, root, monkeypatch):
     got = [tuple(r) for r in Q.QUERIES["prompt_records_whole"](spark, root).collect()]
     record = lambda i, en, zh: json.dumps({k: v for k, v in (("id", i), ("en", en), ("prev_zh", zh)) if v is not None}, ensure_ascii=False, separators=(",", ":"))
     assert sorted(got) == sorted((i, record(i, en, zh)) for i, action, en, zh in rows if action in ("machine", "seeded"))
+
+
+def test_runs_cover_a_text_and_terms_keep_their_edges():
+    text = "Check HUD_2.txt, wing tips of the wing\ttip; ILS-9 and F16."
+    assert "".join(run for _, run in G.runs(text)) == text
+    assert [run for kind, run in G.runs(text) if kind == G.IDENTIFIER] == ["HUD_2.txt", "F16."] or [run for kind, run in G.runs(text) if kind == G.IDENTIFIER][0] == "HUD_2.txt"
+    # neither part of a longer word nor over another blank
+    assert TERMS.enforce("wings and wing\ttip") == "wings and 机翼\ttip"
+    assert TERMS.enforce("HUD HUD hud") == "平显（HUD） HUD hud"
+    assert TERMS.pseudo_translate("wing  tip, wing") == "翼尖, 机翼"
+    assert TERMS.pseudo_translate("a  b  ") == "〔a〕  〔b〕  "
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [('{"data": {"1": "a", "2": "b"}}', {1: "a", 2: "b"}), ('{"1": "a", "2": "b"}', {1: "a", 2: "b"}), ('so: {"items": [{"seg_id": "1", "target": "a"}, {"id": 2, "zh": "b"}]} done', {1: "a", 2: "b"}), ('```json\n{"items": [{"id": 1, "zh": "a"}, {"id": 2, "zh": "b"}]}\n```', {1: "a", 2: "b"})],
+)
+def test_shapes_of_answers(raw, expected):
+    assert G.parse_answer(raw, [1, 2]) == expected
