@@ -16,6 +16,7 @@ from palimpsest.llm.passages import LEAST_WORDS, live_rows
 from palimpsest.llm.residue import classed_messages, recurring, residue
 from palimpsest.llm.tokens import encode_column
 from palimpsest.llm.truncation import NO_ANSWER, answer_endings, cut_rows, open_answers, truncation_rates
+from palimpsest.plans.store import normal, word_runs
 from palimpsest.sources.tables import current_rows, once, table
 
 P1_LIKENESS = 0.5
@@ -152,4 +153,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_messages": p9_messages,
 }
-SQL: dict[str, str] = {}
+_CUT = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TENS = f"array_to_string(a[i:i + {LEAK_WORDS - 1}], ' ') AS k"
+_LIVE = f"""(SELECT DISTINCT ON (id) *, lower(coalesce(normalized, {normal("coalesce(canonical_text, '')")})) AS t FROM segments WHERE role = 'body' AND version_id IN (SELECT version_id FROM document_versions WHERE is_current))"""
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH x AS (SELECT id, t, {word_runs("string_split(t, ' ')")} AS r FROM {_LIVE} WHERE length(t) - length(replace(t, ' ', '')) >= {LEAST_WORDS - 1}),
+u AS (SELECT DISTINCT id, unnest(r) AS k FROM x), n AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM u a JOIN u b ON a.k = b.k AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM n JOIN x a ON a.id = id_a JOIN x b ON b.id = id_b WHERE n >= {P1_LIKENESS} * (len(a.r) + len(b.r) - n)""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, a, unnest(range(1, len(a) - {LEAK_WORDS - 2})) AS i FROM (SELECT doc_id, {_CUT} AS a FROM documents)),
+b AS (SELECT item_id, a, unnest(range(1, len(a) - {LEAK_WORDS - 2})) AS i FROM (SELECT item_id, {_CUT} AS a FROM benchmark))
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {_TENS} FROM d) JOIN (SELECT item_id, {_TENS} FROM b) USING (k)""",
+}
