@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import stored_or_fingerprint, stored_or_normalized
 from palimpsest.operators.snapshots import changes, consecutive
+from palimpsest.plans.store import V, normal, word_runs
 from palimpsest.sources.tables import table
 
 MODIFIED_LIKENESS = 0.3
@@ -28,3 +29,13 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found}
+# a fingerprint names the case-folded normal form, which stands for it here
+SQL = {
+    "p6_found": f"""WITH {V}, s AS (SELECT *, lower(coalesce(normalized, {normal("coalesce(canonical_text, '')")})) AS t FROM (SELECT DISTINCT ON (id) * FROM segments WHERE role = 'body')),
+p AS (SELECT version_id AS old_v, lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_no, version_id) AS new_v FROM v WHERE version_id IN (SELECT version_id FROM segments)),
+o AS (SELECT new_v, id, t, {word_runs("string_split(t, ' ')")} AS r FROM p JOIN s ON s.version_id = old_v WHERE new_v IS NOT NULL AND NOT EXISTS (FROM s AS z WHERE z.version_id = new_v AND z.t = s.t)),
+n AS (SELECT new_v, id, t, {word_runs("string_split(t, ' ')")} AS r FROM p JOIN s ON s.version_id = new_v WHERE NOT EXISTS (FROM s AS z WHERE z.version_id = old_v AND z.t = s.t)),
+m AS (SELECT new_v, o.id AS old_id, n.id AS new_id FROM o JOIN n USING (new_v) WHERE len(list_intersect(o.r, n.r)) >= {MODIFIED_LIKENESS} * (len(o.r) + len(n.r) - len(list_intersect(o.r, n.r))))
+SELECT new_v AS to_version_id, 'modified' AS change_kind, old_id AS old_segment_id, new_id AS new_segment_id FROM m
+UNION ALL SELECT new_v, 'removed', id, 0 FROM o WHERE id NOT IN (SELECT old_id FROM m WHERE m.new_v = o.new_v) UNION ALL SELECT new_v, 'added', 0, id FROM n WHERE id NOT IN (SELECT new_id FROM m WHERE m.new_v = n.new_v)"""
+}
\ No newline at end of file

@@ -56,6 +56,25 @@ T = "t AS (SELECT DISTINCT ON (id) * FROM translations)"
 C = "c AS (SELECT * FROM translations QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY revision DESC, id DESC) = 1)"
 M = "k AS (SELECT * FROM translation_cache QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY created_at DESC NULLS LAST, text DESC NULLS LAST) = 1)"
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def normal(c: str) -> str:
+    """The normal form of a text in SQL: widths, ligatures, composition, quotes, dashes, blanks; NFKC's other forms are not there."""
+    wide = f"translate({c}, '{_WIDE}', '{_NARROW}')"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), ("²", "2"), ("³", "3")):
+        wide = f"replace({wide}, '{a}', '{b}')"
+    marks = f"translate({wide}, '‘’‚‛`′“”„‟″‐‑‒–—―−', '\"\"\"\"\"-------')"
+    shown = rf"regexp_replace(nfc_normalize({marks}), '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g')"
+    return rf"trim(regexp_replace({shown}, '[\s\x{{000b}}\x{{001c}}-\x{{001f}}\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def word_runs(words: str, k: int = 3) -> str:
+    """The different runs of ``k`` words of a list in SQL; a shorter list is its only run."""
+    return f"CASE WHEN len({words}) < {k} THEN [array_to_string({words}, ' ')] ELSE list_distinct(list_transform(range(1, len({words}) - {k - 2}), lambda i: array_to_string({words}[i:i + {k - 1}], ' '))) END"
+
+
 #: Text with something besides Unicode white space, in SQL.
 SEEN = r"regexp_matches({}, '[^\s\x{{000b}}\x{{001c}}-\x{{001f}}\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')".format
 

@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
+#: Folders of staged tables with what opens their file system.
+_STAGED: list[tuple[object, object]] = []
 _OWN_DIR: list[str] = []
 
 
@@ -28,10 +29,17 @@ def once(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a folder of our own only where none is named (tests)."""
+    """The shared folder named by the session; a folder of our own only in one process (tests).
+
+    On a cluster without a shared folder executors would write to disks of
+    their own and readers would see part of a table, so that is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="palimpsest-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -48,17 +56,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _STAGED.append((spark, path))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    if not _STAGED:
+        atexit.register(_drop_at_exit)
+    _STAGED.append((folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged() -> None:
-    """Delete every staged table of this process.  Call only when no result built on them is still to be read."""
+    """Delete every staged table of this process, as the end of the process does.  Call earlier only when no result built on them is still to be read."""
     while _STAGED:
-        spark, path = _STAGED.pop()
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+        files, folder = _STAGED.pop()
+        files.delete(folder, True)
+
+
+def _drop_at_exit() -> None:
+    try:
+        drop_staged()
+    except Exception:  # the JVM may be gone before us; the folder then stays for whoever cleans the shared folder
+        _STAGED.clear()
 
 
 def parallelism(spark: SparkSession, least: int = 1) -> int:
