@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as X
+from palimpsest.functions.glossary import presence
 from palimpsest.functions.text import stored_or_fingerprint
 from palimpsest.operators import relational as R
 from palimpsest.sources.tables import current_rows, once, table
@@ -240,14 +241,10 @@ def migrate_coalesce(spark: SparkSession, root: str, derive: bool = False) -> Da
 def glossary_presence(spark: SparkSession, root: str) -> DataFrame:
     """How many body segments hold each glossary term.
 
-    Equal texts count once before the terms are looked up.  The glossary joins
-    by containment; it is a nested loop over terms, left to Catalyst to
-    broadcast if it is small.
+    Equal texts count once before the terms are looked up, all in one pass of an automaton.
     """
     texts = body(spark, root, "text").filter("text IS NOT NULL").groupBy("text").agg(F.count(F.lit(1)).alias("m"))
-    g = table(spark, root, "glossary").select("en", "case_sensitive")
-    hit = F.when(F.col("case_sensitive"), F.contains("text", "en")).otherwise(F.contains(F.lower("text"), F.lower("en")))
-    return texts.join(g, hit).groupBy("en").agg(F.sum("m").alias("n"))
+    return presence(texts, table(spark, root, "glossary"))
 
 
 @query(f"""WITH {V}, a AS (SELECT doc_id, count(*) AS version_count, max(version_no) AS last_no, sum(page_count)::BIGINT AS pages FROM v GROUP BY doc_id),

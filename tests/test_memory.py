@@ -145,3 +145,13 @@ def test_runs_cover_a_text_and_terms_keep_their_edges():
 )
 def test_shapes_of_answers(raw, expected):
     assert G.parse_answer(raw, [1, 2]) == expected
+
+
+def test_presence_by_automaton_and_by_join(spark, monkeypatch):
+    texts = spark.createDataFrame([("The WING tip and the ILS", 3), ("ils only", 2), ("", 5), (None, 7)], "text string, m bigint").selectExpr("*", "1 AS n")
+    g = spark.createDataFrame([("wing", "翼", False, None), ("ILS", "仪", True, None), ("tip", "尖", None, None), ("gear", "架", False, None), (None, "x", False, None), ("wing", "机翼", False, None)], "en string, zh string, case_sensitive boolean, note string")
+    want = {"wing": 6, "ILS": 3, "tip": 3}
+    assert {r.en: r.n for r in G.presence(texts, g).collect()} == want
+    monkeypatch.setattr(G, "MOST_TERMS", 2)
+    assert {r.en: r.n for r in G.presence(texts, g).collect()} == want
+    assert G.presence(texts, g.limit(0)).count() == 0
