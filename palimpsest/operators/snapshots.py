@@ -13,6 +13,9 @@
    sketch of fixed size over all left-over rows, so that common runs, which
    would pair everything with everything, are the ones left out.
 3. Candidates are verified on the whole sets, which gives typed changes.
+
+Where rows have a key that stays and columns that change, ``column_changes``
+does with the merge alone: it compares the columns of keys that both sides have.
 """
 
 from __future__ import annotations
@@ -80,6 +83,70 @@ def one_sided(rows: DataFrame) -> DataFrame:
     return spread.mapInArrow(_merged, "step bigint, key string, side int")
 
 
+def _compared(columns: list[str]):
+    """Two-pointer merge of sorted (step, key, side, digests) rows, at most one of a key and side: typed changes with the columns that differ."""
+    m = len(columns)
+    names = np.array(columns, object)
+
+    def typed(b: pa.RecordBatch, first: np.ndarray, second: np.ndarray | None) -> pa.RecordBatch:
+        rows = b.take(pa.array(first))
+        if second is None:
+            kinds = np.where(rows["side"].to_numpy(zero_copy_only=False) == OLD, "removed", "added").tolist()
+            changed = [[] for _ in kinds]
+        else:
+            kinds = ["changed"] * len(first)
+            changed = second
+        return pa.RecordBatch.from_arrays([rows["step"], rows["key"], pa.array(kinds, pa.string()), pa.array(changed, pa.list_(pa.string()))], ["step", "key", "change_kind", "changed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            n = b.num_rows
+            if n < 2:
+                held = b if n else held
+                continue
+            step, key = b["step"].to_numpy(zero_copy_only=False), b["key"]
+            meets = (step[1:] == step[:-1]) & pa.compute.equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            digests = b["digests"].flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * m)
+            at = np.flatnonzero(meets)
+            differ = digests[at] != digests[at + 1]
+            differ = differ[:, :m] | differ[:, m:]
+            some = differ.any(axis=1)
+            yield typed(b, at[some], [names[d].tolist() for d in differ[some]])
+            both = np.zeros(n, bool)
+            both[:-1] |= meets
+            both[1:] |= meets
+            yield typed(b, np.flatnonzero(~both[:-1]), None)
+            held = None if both[-1] else b.slice(n - 1)
+        if held is not None and held.num_rows:
+            yield typed(held, np.arange(held.num_rows), None)
+
+    return run
+
+
+def column_changes(rows: DataFrame, steps: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(to_version, key, change_kind, changed): keys added, removed and changed from snapshot to snapshot, with the columns that differ.
+
+    ``rows``: version_id, ``key`` and ``columns``; ``steps``: from_version,
+    to_version.  Only digests of columns are shuffled.  Equal rows of a key
+    count once; different rows of a key in one snapshot are taken together by
+    their least and greatest digests, aggregated before the shuffle, so a key
+    that fills a third of a snapshot is one row.  A null key is a key of its
+    own, a null value a value of its own.  Rows without a version take no part.
+    """
+    digests = F.array(*(F.xxhash64(F.col(c).isNull(), F.col(c)) for c in columns))
+    named = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    digested = rows.filter("version_id IS NOT NULL").select("version_id", named.alias("key"), digests.alias("d"))
+    once_ = digested.groupBy("version_id", "key").agg(F.concat(F.min("d"), F.max("d")).alias("digests"))
+    side = lambda c, n: once_.join(steps.select(F.col(c).alias("version_id"), F.col("to_version").alias("step")), "version_id").select("step", "key", F.lit(n).alias("side"), "digests")
+    both = side("from_version", OLD).unionAll(side("to_version", NEW))
+    spread = both.repartitionByRange(parallelism(rows.sparkSession), "step", "key").sortWithinPartitions("step", "key", "side")
+    found = spread.mapInArrow(_compared(columns), "step bigint, key string, change_kind string, changed array<string>")
+    return found.select(F.col("step").alias("to_version"), F.nullif("key", F.lit("\x00")).alias("key"), "change_kind", "changed")
+
+
 def _run_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -90,3 +90,30 @@ def test_null_fingerprints_count_by_their_text(spark, root, tmp_path):
     for q in ("fingerprint_dups", "cache_lookup", "fp_set_difference", "migrate_coalesce", "distinct_fingerprints", "running_heads", "diff_counts_relational", "removed_slots", "translation_plan"):
         want = sorted(map(str, catalogue.QUERIES[q](spark, f"{tmp_path}/all").collect()))
         assert sorted(map(str, catalogue.QUERIES[f"{q}_whole"](spark, f"{tmp_path}/gaps").collect())) == want, q
+
+
+def test_column_changes_against_brute_force(spark):
+    import random
+
+    from palimpsest.operators.snapshots import column_changes
+
+    r = random.Random(7)
+    rows = []
+    for v in (1, 2, 3):
+        for k in range(60):
+            if r.random() < 0.9:
+                rows.append((v, f"k{k:02}", r.choice([None, 1, 2]), r.choice(["a", "b"])))
+    rows += [(1, None, 5, "n"), (2, None, 6, "n"), (3, "twice", 1, "x"), (3, "twice", 1, "x"), (2, "twice", 1, "x"), (2, "hot", 1, "x"), *((3, "hot", i, "y") for i in range(50)), (None, "k00", 1, "a")]
+    df = spark.createDataFrame(rows, "version_id bigint, k string, a int, b string").selectExpr("*", "1 AS step", "2 AS d")
+    steps = spark.createDataFrame([(1, 2), (2, 3)], "from_version bigint, to_version bigint")
+    want = set()
+    for old, new in ((1, 2), (2, 3)):
+        side = lambda v: {k: sorted({(str(a), b) for w, j, a, b in rows if w == v and j == k}) for k in {j for w, j, _, _ in rows if w == v}}
+        o, n = side(old), side(new)
+        want |= {(new, k, "removed", ()) for k in set(o) - set(n)} | {(new, k, "added", ()) for k in set(n) - set(o)}
+        for k in set(o) & set(n):
+            if o[k] != n[k]:
+                want.add((new, k, "changed", tuple(c for i, c in enumerate("ab") if {x[i] for x in o[k]} != {x[i] for x in n[k]})))
+    got = {(x.to_version, x.key, x.change_kind, tuple(x.changed)) for x in column_changes(df, steps, "k", ["a", "b"]).collect()}
+    assert got == want
+    assert column_changes(df.limit(0), steps, "k", ["a", "b"]).count() == 0
