@@ -399,14 +399,20 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["pair_id"], *(pa.array(c, pa.int32()) for c in columns)], ["pair_id", *DEFECTS])
 
 
-def recurring_answers(pairs: DataFrame) -> DataFrame:
-    """(answer_name, recurs): answers, digits aside, that at least ``LEAST_RECURRENCE`` different sources get.
+def recurring_names(pairs: DataFrame) -> DataFrame:
+    """(answer_name, recurs): answers that at least ``LEAST_RECURRENCE`` different sources get.  ``pairs``: answer_name, source_name.
 
     Pairs are made distinct first, so an answer that fills a third of all rows
-    is one row per different source, and sums are partial before the shuffle.
+    is one row per different source, and counts are partial before the shuffle.
     """
-    named = pairs.filter(F.length("answer") >= LEAST_RECURRING_CHARS).select(answer_name("answer").alias("answer_name"), F.xxhash64("source_text").alias("s")).distinct()
-    return named.groupBy("answer_name").agg(F.count(F.lit(1)).cast("int").alias("recurs")).filter(F.col("recurs") >= LEAST_RECURRENCE)
+    counted = pairs.select("answer_name", "source_name").distinct().groupBy("answer_name").agg(F.count(F.lit(1)).cast("int").alias("recurs"))
+    return counted.filter(F.col("recurs") >= LEAST_RECURRENCE)
+
+
+def recurring_answers(pairs: DataFrame) -> DataFrame:
+    """The same of ``pairs`` (source_text, answer); answers are named digits aside, short ones not at all."""
+    named = pairs.filter(F.length("answer") >= LEAST_RECURRING_CHARS)
+    return recurring_names(named.select(answer_name("answer").alias("answer_name"), F.xxhash64("source_text").alias("source_name")))
 
 
 def answer_name(answer: str) -> Column:
@@ -414,12 +420,13 @@ def answer_name(answer: str) -> Column:
 
 
 def voted(pairs: DataFrame) -> DataFrame:
-    """(pair_id, a vote pattern per defect) of ``pairs`` (pair_id, source_text, answer, cut, source_stops and, if known, at_limit), staged."""
+    """(pair_id, a vote pattern per defect) of ``pairs`` (pair_id, source_text, answer, cut, source_stops and, if known, at_limit and recurs), staged."""
     kind = "pair_id bigint, " + ", ".join(f"{d} int" for d in DEFECTS)
-    at_limit = F.col("at_limit") if "at_limit" in pairs.columns else F.lit(None).cast("boolean").alias("at_limit")
-    rows = pairs.select("pair_id", "source_text", "answer", "cut", "source_stops", at_limit)
-    told = rows.withColumn("answer_name", answer_name("answer")).join(recurring_answers(rows), "answer_name", "left").withColumn("recurs", F.coalesce("recurs", F.lit(1)))
-    return stage(told.select("pair_id", "source_text", "answer", "cut", "source_stops", "recurs", "at_limit").mapInArrow(_voted, kind), "votes")
+    at_limit = F.col("at_limit") if "at_limit" in pairs.columns else F.lit(None).cast("boolean")
+    rows = pairs.withColumn("at_limit", at_limit)
+    if "recurs" not in pairs.columns:
+        rows = rows.withColumn("answer_name", answer_name("answer")).join(recurring_answers(rows), "answer_name", "left").withColumn("recurs", F.coalesce("recurs", F.lit(1)))
+    return stage(rows.select("pair_id", "source_text", "answer", "cut", "source_stops", "recurs", "at_limit").mapInArrow(_voted, kind), "votes")
 
 
 def defects(votes_: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from palimpsest.llm.confusables import consistent_forms, look_alike_pairs, look_
 from palimpsest.llm.leaks import leaks
 from palimpsest.llm.near_duplicates import linked_pairs, membership, near_duplicates
 from palimpsest.llm.packing import pack_sequences
-from palimpsest.llm.pairs import defects, main_defect, voted
+from palimpsest.llm.pairs import LEAST_RECURRING_CHARS, answer_name, defects, main_defect, recurring_names, voted
 from palimpsest.llm.passages import LEAST_WORDS, live_rows
 from palimpsest.llm.residue import classed_messages, recurring, residue
 from palimpsest.llm.tokens import encode_column
@@ -46,18 +46,33 @@ def p2_batches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pair_rows(spark: SparkSession, root: str) -> DataFrame:
-    """(pair_id, source_text, answer, cut, at_limit, source_stops): each body segment with its current translation."""
-    current = current_rows(table(spark, root, "translations").select("segment_id", "id", "text", "status", "revision"), "segment_id", "revision", "id")
-    answers = current.filter(~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))).select("segment_id", F.col("id").alias("row_id"), F.col("text").alias("answer"))
-    sources = once(table(spark, root, "segments").filter("role = 'body'").select("id", "text")).select(F.col("id").alias("segment_id"), F.col("text").alias("source_text"))
-    cuts = open_answers(spark, root, answer_endings(spark, root)).select("row_id", "cut", "at_spike")
+    """(pair_id, source_text, answer, cut, at_limit, recurs, source_stops): each body segment with its current translation.
+
+    Texts are shuffled by segment once; what is known of answers comes to them in narrow rows.
+    """
+    answered = ~F.coalesce(F.col("status").isin(*NO_ANSWER), F.lit(False))
+
+    def current(*columns) -> DataFrame:
+        rows = table(spark, root, "translations").select("segment_id", F.col("id").alias("row_id"), "status", "revision", *columns)
+        return current_rows(rows, "segment_id", "revision", "row_id").filter(answered).drop("status", "revision")
+
+    segments = once(table(spark, root, "segments").filter("role = 'body'").select("id", "text"))
+    sources = segments.select(F.col("id").alias("segment_id"), F.col("text").alias("source_text"))
+    cuts = open_answers(spark, root, answer_endings(spark, root)).select(F.col("segment_id").alias("of"), F.col("row_id").alias("cut_id"), "cut", "at_spike")
+    names = current(F.when(F.length("text") >= LEAST_RECURRING_CHARS, answer_name("text")).alias("answer_name")).filter("answer_name IS NOT NULL")
+    given = segments.select(F.col("id").alias("segment_id"), F.xxhash64("text").alias("source_name"))
+    recurs = names.join(recurring_names(names.join(given, "segment_id")), "answer_name").select("segment_id", "recurs")
     tail = F.rtrim(F.regexp_replace("source_text", "[\\u00AD\\u200B-\\u200F\\u2060\\uFEFF]+", ""))
-    return answers.join(sources, "segment_id").join(cuts, "row_id", "left").select(
+    joined = current(F.col("text").alias("answer")).join(sources, "segment_id").join(recurs, "segment_id", "left")
+    # rows are told apart beside the key of the join, which keeps the layout by segment
+    joined = joined.join(cuts, (F.col("of") == F.col("segment_id")) & (F.col("cut_id") - F.col("row_id") == 0), "left")
+    return joined.select(
         F.col("segment_id").alias("pair_id"),
         "source_text",
         "answer",
         F.coalesce("cut", F.lit(False)).alias("cut"),
         F.coalesce("at_spike", F.lit(False)).alias("at_limit"),
+        F.coalesce("recurs", F.lit(1)).alias("recurs"),
         F.coalesce(tail.rlike("[.!?\u3002\uff01\uff1f][\"'\u201d\u2019)\\]]*\\s*$"), F.lit(False)).alias("source_stops"),
     )
 

@@ -80,7 +80,7 @@ def best_cutoff(posterior: np.ndarray, positive: np.ndarray) -> tuple[float, flo
 def validate(spark: SparkSession, root: str, seed: int = 5, sample: int = SAMPLE) -> dict[str, tuple[float, float, float]]:
     """Per defect (cutoff, precision, recall) over broken pairs and the untouched rest of the sample."""
     r = random.Random(seed)
-    rows = pair_rows(spark, root).select("pair_id", "source_text", "answer", "cut", "source_stops", "at_limit")
+    rows = pair_rows(spark, root).select("pair_id", "source_text", "answer", "cut", "source_stops", "at_limit", "recurs")
     found = P.main_defect(P.defects(P.voted(rows))).select("pair_id", "defect")
     chosen = rows.join(found, "pair_id", "left").filter("defect IS NULL AND answer IS NOT NULL AND source_text IS NOT NULL").orderBy(F.xxhash64("pair_id", F.lit(seed))).limit(sample).collect()
     texts = table(spark, root, "documents").filter("lower(substr(lang, 1, 2)) IN ('fr', 'de', 'es')").select(F.substring("text", 1, 400).alias("t")).orderBy(F.xxhash64("t")).limit(2000).collect()
