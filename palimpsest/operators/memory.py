@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +53,39 @@ def greedy_batches(planned: DataFrame, group: str, order: str, length: Column, m
     """(group, batch_no, ids, n, chars): items in order, a new batch when it would exceed ``most`` items or ``chars`` characters.
 
     The running sum starts anew with each batch, which no window can say, so
-    it is a fold per group.  A single item over the limit is a batch of its own.
+    it is a fold over rows sorted by group and order, which holds one batch at
+    a time.  A single item over the limit is a batch of its own; a null length
+    counts as 0, and items without a group are a group.
     """
-    rows = planned.select(group, order, length.cast("int").alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        batch, size, count, out = 0, 0, 0, []
-        for n in pdf["n"].fillna(0).astype(int):
-            if count and (count >= most or size + n > chars):
-                batch, size, count = batch + 1, 0, 0
-            size, count = size + n, count + 1
-            out.append(batch)
-        pdf = pdf.assign(batch_no=out, n=pdf["n"].fillna(0).astype(int))
-        g = pdf.groupby("batch_no", as_index=False).agg(ids=(order, list), n=(order, "size"), chars=("n", "sum"))
-        return g.assign(**{group: pdf[group].iloc[0]})[[group, "batch_no", "ids", "n", "chars"]]
-
-    return rows.groupBy(group).applyInPandas(fold, f"{group} bigint, batch_no int, ids array<bigint>, n bigint, chars bigint")
+    rows = planned.select(F.col(group).cast("bigint").alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n"))
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: object = ()  # no group yet
+        no, ids, size = 0, [], 0
+        for part in parts:
+            out: list[tuple] = []
+            for g, o, n in zip(*(part[c].to_pylist() for c in "gon"), strict=True):
+                if ids and (g != of or len(ids) >= most or size + n > chars):
+                    out.append((of, no, ids, len(ids), size))
+                    no, ids, size = no + 1, [], 0
+                if g != of:
+                    of, no = g, 0
+                ids.append(o)
+                size += n
+            yield _batches_of(out)
+        if ids:
+            yield _batches_of([(of, no, ids, len(ids), size)])
+
+    spread = rows.repartition("g").sortWithinPartitions("g", F.asc_nulls_last("o"))
+    return spread.mapInArrow(fold, "g bigint, batch_no int, ids array<bigint>, n bigint, chars bigint").withColumnRenamed("g", group)
+
+
+_BATCHES = pa.schema([("g", pa.int64()), ("batch_no", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("chars", pa.int64())])
+
+
+def _batches_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_BATCHES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BATCHES, strict=True)], schema=_BATCHES)
 
 
 def prompts(planned: DataFrame) -> DataFrame:

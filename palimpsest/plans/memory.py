@@ -67,11 +67,17 @@ def translation_cost(spark: SparkSession, root: str) -> DataFrame:
     return M.estimate(_plan(spark, root), 0.66, 1.98)
 
 
-@query()
+_FOLD = _PLAN.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"""{_FOLD}, q AS (SELECT version_id, id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY version_id ORDER BY id) AS k FROM p WHERE action IN ('seeded', 'machine')),
+f AS (SELECT version_id, id, n, k, 0 AS batch_no, n AS size, 1 AS m FROM q WHERE k = 1 UNION ALL SELECT q.version_id, q.id, q.n, q.k, CASE WHEN f.m >= 12 OR f.size + q.n > 1800 THEN f.batch_no + 1 ELSE f.batch_no END,
+CASE WHEN f.m >= 12 OR f.size + q.n > 1800 THEN q.n ELSE f.size + q.n END, CASE WHEN f.m >= 12 OR f.size + q.n > 1800 THEN 1 ELSE f.m + 1 END FROM f JOIN q ON q.version_id IS NOT DISTINCT FROM f.version_id AND q.k = f.k + 1)
+SELECT version_id, batch_no, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS n, sum(n)::BIGINT AS chars FROM f GROUP BY version_id, batch_no""")
 def translation_batches(spark: SparkSession, root: str) -> DataFrame:
     """Greedy batches of what is left to translate, at most 12 segments and 1,800 characters."""
     todo = _plan(spark, root).filter(F.col("action").isin("seeded", "machine"))
-    return M.greedy_batches(todo, "version_id", "id", F.char_length("text"))
+    return M.greedy_batches(todo, "version_id", "id", F.char_length("text")).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 @query(f"{_PLAN} SELECT id, to_json(struct_pack(id := id, en := text)) AS payload FROM p WHERE action = 'machine' AND text IS NOT NULL AND regexp_matches(text, '^[ -!#-.0-\\[\\]-~]*$')")

@@ -158,7 +158,16 @@ def label_forms_whole(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("id", X.upper_alnum(t).alias("label"), X.is_code_like(t).alias("code_like"), X.label_bucket(t).alias("bucket"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
 
 
-@query()
+# each character becomes a letter for its class, in the order in which the classes are told apart
+_CLASSED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+'[\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '[0-9\x{ff10}-\x{ff19}]', '0', 'g'), '[A-Za-z\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]', 'a', 'g'),
+'[\x{2e80}-\x{2eff}\x{3001}-\x{303f}\x{3040}-\x{30ff}\x{3100}-\x{312f}\x{31c0}-\x{31ef}\x{3200}-\x{33ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{a960}-\x{a97f}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{fe10}-\x{fe1f}\x{fe30}-\x{fe4f}\x{ff00}-\x{ffef}\x{1f200}-\x{1f2ff}\x{20000}-\x{2fa1f}]', chr(1), 'g'),
+'[^\x00-\x7f]', chr(2) || '\0', 'g'), '\x02(?:\pL)', 'a', 'g'), '\x02(?:\pN)', '0', 'g')"""
+
+
+@query(rf"""WITH {C}, x AS (SELECT regexp_replace(regexp_replace({_CLASSED}, '\x02.', '-', 'g'), '[^ 0a\x01]', '-', 'g') AS t FROM c WHERE text IS NOT NULL),
+k AS (SELECT * FROM (VALUES ('space', ' +'), ('digit', '0+'), ('latin', 'a+'), ('cjk', '\x01+'), ('punct', '-+')) AS v(kind, p)), r AS (SELECT kind, unnest(regexp_extract_all(t, p)) AS run FROM x, k)
+SELECT kind, count(*) AS n_runs, sum(length(run))::BIGINT AS n_chars FROM r GROUP BY kind""")
 def script_run_counts(spark: SparkSession, root: str) -> DataFrame:
     """Runs of one script in current translations, by kind."""
     runs = current(spark, root, "text").select(F.explode(script_runs_col("text")).alias("r"))
