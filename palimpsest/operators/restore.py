@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +38,60 @@ def _page_rest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["row_id", "segment_id"])
 
 
+def _nearest_place(free: list[tuple[int, int, int]], page: int, place: int) -> int:
+    """The index in a sorted list of (page, place, row) of the nearest by page, then by place; of equal ones the first."""
+    lo, hi = bisect_left(free, (page,)), bisect_left(free, (page + 1,))
+    near = {page} if lo < hi else {free[x][0] for x in (lo - 1, hi) if 0 <= x < len(free)}
+    around: list[int] = []
+    for p in near:
+        lo, hi = bisect_left(free, (p,)), bisect_left(free, (p + 1,))
+        at = bisect_left(free, (p, place), lo, hi)
+        before = [bisect_left(free, (p, free[at - 1][1]), lo, hi)] if at > lo else []  # the first of those at that place
+        around += [*before, *([at] if at < hi else [])]
+    return min(around, key=lambda x: (abs(free[x][0] - page), abs(free[x][1] - place), free[x]))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by version, fingerprint, side (new ones first) and place: each old row takes the nearest new one that is free.
+
+    Held are the free new rows of one fingerprint in one version.
+    """
+    of, free = None, []
+    for b in batches:
+        found: list[tuple[int, int]] = []
+        for version, print_, is_old, page, place, row in zip(*(b[c].to_pylist() for c in _NEAR), strict=True):
+            if (version, print_) != of:
+                of, free = (version, print_), []
+            if not is_old:
+                insort(free, (page, place, row))
+                continue
+            if free:
+                best = _nearest_place(free, page, place)
+                found.append((row, free.pop(best)[2]))
+        columns = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_id", "segment_id"])
+
+
+_NEAR = ("version_id", "fingerprint", "is_old", "page", "order_index", "key")
+
+
+def nearest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(row_id, segment_id, tier): old rows of a version with the free new one of equal fingerprint that is nearest by page, then by place.
+
+    Old rows choose in order of page and place.  A null page or place counts as 0; a null fingerprint equals nothing.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    side = lambda df, key, is_old: df.filter("fingerprint IS NOT NULL AND version_id IS NOT NULL").select("version_id", "fingerprint", F.lit(is_old).alias("is_old"), zero("page"), zero("order_index"), F.col(key).cast("bigint").alias("key"))
+    both = side(old, "row_id", True).unionAll(side(new, "segment_id", False))
+    laid = both.repartition("version_id", "fingerprint").sortWithinPartitions(*_NEAR)
+    return laid.mapInArrow(_nearest, "row_id bigint, segment_id bigint").withColumn("tier", F.lit("near"))
+
+
 def restore(backup: DataFrame, segments: DataFrame, shape_check: bool = True) -> DataFrame:
     """Backed-up answers on the segments of the same versions, each target once; see ``RESTORED`` for the columns.
 
     exact: equal page and fingerprint, in order of occurrence; near: equal
-    fingerprint, in order of page and place; contains: on the page, one text
+    fingerprint, the nearest by page and place; contains: on the page, one text
     within the other. Answers out of proportion to their new source are left
     for translation. Old rows that find no place are not in the result; null
     fingerprints and pages equal nothing.
@@ -53,7 +106,7 @@ def restore(backup: DataFrame, segments: DataFrame, shape_check: bool = True) ->
 
     found = tier(b, s, ["version_id", "page", "fingerprint"], "exact")
     rest_b, rest_s = b.join(found, "row_id", "left_anti"), s.join(found, "segment_id", "left_anti")
-    near = tier(rest_b, rest_s, ["version_id", "fingerprint"], "near")
+    near = stage(nearest(rest_b, rest_s), "near")
     found = found.unionAll(near)
     rest_b, rest_s = rest_b.join(near, "row_id", "left_anti"), rest_s.join(near, "segment_id", "left_anti")
     columns = ["version_id", "page", "order_index", "canonical_text"]

@@ -110,3 +110,22 @@ def test_restoring_onto_next_versions_leaves_no_place_out(spark, root):
     assert {r.version_id for r in got} <= {r.to_version for r in version_steps(spark, root).collect()}
     assert len({r.segment_id for r in got}) == len(got)
     assert any(at[r.segment_id] is not None and at[r.segment_id] % 97 == 13 for r in got) and len({r.tier for r in got}) > 1
+
+
+def test_near_tier_takes_the_nearest(spark):
+    import random
+
+    from palimpsest.operators.restore import nearest
+
+    r = random.Random(4)
+    side = lambda n, start: [(r.choice([1, 2, None]), r.choice(["f", "g", None]), r.choice([1, 2, 5, 9, None]), r.randrange(12), start + k) for k in range(n)]
+    old, new = side(80, 1000), side(60, 1)
+    kind = "version_id bigint, fingerprint string, page int, order_index int"
+    got = {(x.row_id, x.segment_id) for x in nearest(spark.createDataFrame(old, f"{kind}, row_id bigint"), spark.createDataFrame(new, f"{kind}, segment_id bigint")).collect()}
+    want, used = set(), set()
+    for v, f, page, place, row in sorted(old, key=lambda x: (x[2] or 0, x[3], x[4])):
+        fits = [(abs((p or 0) - (page or 0)), abs(q - place), p or 0, q, i) for w, g, p, q, i in new if v is not None and f is not None and (w, g) == (v, f) and i not in used]
+        if fits:
+            used.add(min(fits)[4])
+            want.add((row, min(fits)[4]))
+    assert got == want and want
