@@ -275,3 +275,51 @@ def page_list(spec: str | tuple[int, int] | list[int] | int | None, n_pages: int
             a, b = int(lo or 1), int(hi or n_pages)
             pages.update(range(min(a, b), max(a, b) + 1))
     return [p for p in last if p in pages]
+
+
+# A leader of dots with its page, before the number of the next entry.
+_ENTRY_END = f"(\\.{{4,}}{_W}\\p{{Nd}}{{1,4}}[A-Za-z]?\\.?){_W}+(?=\\p{{Nd}}+[A-Z]?(?:\\.\\p{{Nd}}+)*{_W})"
+
+
+def contents_entries(c: Column) -> Column:
+    """The entries of a contents row that holds several, each with its leader and page; none for any other text."""
+    t = F.coalesce(c, F.lit(""))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(t, _ENTRY_END, "$1\u0001"), "\u0001"), strip), lambda p: p != "")
+    several = (F.regexp_count(t, F.lit("\\.{4,}")) > 1) & (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike("\\.{4,}"))
+    return F.when(several, parts).otherwise(F.array().cast("array<string>"))
+
+
+def _replaced_once(c: Column, old: Column, new: Column) -> Column:
+    at = F.instr(c, old)
+    return F.concat(F.substring(c, F.lit(1), at - 1), new, F.substring(c, at + F.length(old), F.length(c)))
+
+
+def rewrite_quantity(c: Column) -> Column:
+    """A text with its first number with a unit changed: a fifth more from 100 on, five more below; thousands with a comma.  Null where there is none."""
+    pattern = LINE_MARKS["quantity"]
+    old = F.regexp_substr(c, F.lit(pattern))
+    number = F.regexp_extract(old, "^[\\p{Nd},]+(?:\\.\\p{Nd}+)?", 0)
+    unit = strip(F.substring(old, F.length(number) + 1, F.length(old)))
+    value = F.regexp_replace(number, ",", "").try_cast("double")
+    changed = F.when(value >= 100, value * 1.2).otherwise(value + 5)
+    whole = changed == F.floor(changed)
+    shown = F.when(whole & (value >= 1000), F.format_number(changed, 0)).when(whole, changed.cast("bigint").cast("string")).otherwise(F.format_string("%.1f", changed))
+    return F.when(F.coalesce(value.isNotNull() & (old != ""), F.lit(False)), _replaced_once(c, old, F.concat(shown, F.lit(" "), unit)))
+
+
+# Words that synthetic edits change, and the sentence they put in.
+EDITED_WORDS = {" warning ": " caution ", " aircraft ": " airframe ", " engine ": " motor ", " landing ": " approach ", " immediately ": " promptly "}
+LEAST_SENTENCE = 30
+
+
+def rewrite_words(c: Column) -> Column:
+    """A text with the first place of the first of ``EDITED_WORDS`` that it holds changed; null where it holds none."""
+    return F.coalesce(*(F.when(F.contains(c, F.lit(a)), _replaced_once(c, F.lit(a), F.lit(b))) for a, b in EDITED_WORDS.items()))
+
+
+def rewrite_sentence(c: Column, sentence: Column) -> Column:
+    """A text with its last sentence replaced; null if fewer than three sentences stand there or the last is short."""
+    last = F.regexp_substr(c, F.lit(f"(?s)(?<=[.!?]{_W}{{1,9}})(?!{_W})(?:(?![.!?]{_W}).)*\\z"))
+    stops = F.regexp_count(c, F.lit(f"[.!?]{_W}+"))
+    fits = (stops >= 2) & (F.length(strip(last)) >= LEAST_SENTENCE)
+    return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(last)), sentence))

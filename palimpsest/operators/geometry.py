@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import insort
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -196,3 +197,34 @@ def place_labels(labels: list[tuple[str, tuple[float, float, float, float], floa
                 out[k] = (text, tuple(round(v, 2) for v in box))
                 break
     return out
+
+
+# --- labels read off images -----------------------------------------------------------------------------------
+LEAST_GLUED = 5
+_GLUED_DIGIT, _GLUED_CASE = re.compile(r"(?<=[A-Za-z])(?=\d)"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def split_capitals(word: str, vocabulary: Iterable[str]) -> list[str]:
+    """A run of capitals divided at the longest words of a vocabulary; what no word begins goes to the part before it."""
+    known = {v for v in vocabulary if v}
+    longest = max(map(len, known), default=0)
+    if len(word) < LEAST_GLUED or not word.isupper():
+        return [word]
+    parts: list[str] = []
+    at = 0
+    while at < len(word):
+        found = next((word[at : at + n] for n in range(min(longest, len(word) - at), 0, -1) if word[at : at + n] in known), None)
+        if found:
+            parts.append(found)
+        elif parts:
+            parts[-1] += word[at]
+        else:
+            parts.append(word[at])
+        at += len(found or " ")
+    return parts
+
+
+def label_form(text: str | None, vocabulary: Iterable[str] = ()) -> str:
+    """A label with blanks where reading glued words, numbers or cases together; null gives the empty text."""
+    spaced = _GLUED_CASE.sub(" ", _GLUED_DIGIT.sub(" ", " ".join((text or "").split())))
+    return " ".join(split_capitals(spaced, vocabulary)) if spaced and " " not in spaced else spaced

@@ -116,6 +116,19 @@ def arrival_decisions(arrivals: DataFrame, versions: DataFrame, segments: DataFr
     return rows.select("arrival_id", decision.alias("decision"), "version_id", label.alias("label"))
 
 
+def filled(missing: DataFrame, backup: DataFrame) -> DataFrame:
+    """(id, backup_id, how): for each row without an answer one that has it, of equal fingerprint, else of equal normal form.
+
+    ``missing``: id, fingerprint, normalized; ``backup`` the same; the least
+    backup id stands for equal ones.  Case is no difference; nulls equal nothing.
+    """
+    prints = backup.filter("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("id").alias("by_print"))
+    forms = backup.filter("normalized IS NOT NULL").groupBy(F.lower("normalized").alias("_form")).agg(F.min("id").alias("by_form"))
+    found = missing.withColumn("_form", F.lower("normalized")).join(prints, "fingerprint", "left").join(forms, "_form", "left")
+    how = F.when(F.col("by_print").isNotNull(), "fingerprint").otherwise("normal form")
+    return found.select("id", F.coalesce("by_print", "by_form").alias("backup_id"), how.alias("how")).filter("backup_id IS NOT NULL")
+
+
 def put_snapshots(held: DataFrame, new: DataFrame) -> DataFrame:
     """The register of rendered files (snapshot_id, version_id, kind, params_hash, path, stale, bytes, created_at) with new ones in place of those of equal version, kind and parameters.
 

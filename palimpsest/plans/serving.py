@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import scalars as X
 from palimpsest.operators import relational as R
 from palimpsest.operators import serving as O
 from palimpsest.plans.memory import _aligned
@@ -107,3 +108,22 @@ def newest_snapshots(spark: SparkSession, root: str) -> DataFrame:
     last = R.latest(e, ["version_id", "kind"], "created_at", "event_id").drop("event_id")
     none = last.limit(0).withColumn("snapshot_id", F.lit(0).cast("bigint"))
     return O.latest_snapshots(O.put_snapshots(none, last)).select("version_id", "kind", "path")
+
+
+@query(f"""WITH {S}, a AS (SELECT DISTINCT segment_id FROM translations WHERE text <> ''), m AS (SELECT id, fingerprint, normalized FROM s WHERE role = 'body' AND id NOT IN (SELECT segment_id FROM a WHERE segment_id IS NOT NULL)),
+b AS (SELECT id, fingerprint, normalized FROM s WHERE id IN (SELECT segment_id FROM a)), f AS (SELECT fingerprint, min(id) AS by_print FROM b WHERE fingerprint IS NOT NULL GROUP BY ALL), n AS (SELECT lower(normalized) AS form, min(id) AS by_form FROM b WHERE normalized IS NOT NULL GROUP BY ALL)
+SELECT m.id, coalesce(by_print, by_form) AS backup_id, CASE WHEN by_print IS NOT NULL THEN 'fingerprint' ELSE 'normal form' END AS how FROM m LEFT JOIN f USING (fingerprint) LEFT JOIN n ON n.form = lower(m.normalized) WHERE coalesce(by_print, by_form) IS NOT NULL""")
+def filled_gaps(spark: SparkSession, root: str) -> DataFrame:
+    """Body segments never answered, with a segment whose answer fits."""
+    told = table(spark, root, "translations").filter("text <> ''").select(F.col("segment_id").alias("id")).distinct()
+    s = segments(spark, root, "role", "fingerprint", "normalized")
+    return O.filled(s.filter("role = 'body'").join(told, "id", "left_anti"), s.join(told, "id", "left_semi"))
+
+
+@query()
+def synthetic_edits(spark: SparkSession, root: str) -> DataFrame:
+    """What body segments become by the edits that make a test version, where one applies."""
+    t = F.col("text")
+    sentence = F.lit("In this revision the step is new: set the switch as the placard says and wait.")
+    made = body(spark, root, "text").select("id", X.rewrite_quantity(t).alias("quantity"), X.rewrite_words(t).alias("words"), X.rewrite_sentence(t, sentence).alias("sentence"), F.array_join(X.contents_entries(t), "|").alias("entries"))
+    return made.filter("quantity IS NOT NULL OR words IS NOT NULL OR sentence IS NOT NULL OR entries <> ''")

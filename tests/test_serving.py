@@ -80,3 +80,32 @@ def test_banners_and_pages(spark):
 )
 def test_split_by_ratio(zh, a, b, expected):
     assert O.split_by_ratio(zh, a, b) == expected
+
+
+def test_contents_entries_and_edits(spark):
+    from palimpsest.functions import scalars as X
+
+    texts = ["8.1 Speed check ...... 153 8.2 Fly-up check ...... 154", "8.1 Speed ...... 153", "", None, "no dots 8.2 here", "A ..... 1 B ..... 2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.e for r in df.select("i", X.contents_entries(F.col("t")).alias("e")).orderBy("i").collect()]
+    assert got == [["8.1 Speed check ...... 153", "8.2 Fly-up check ...... 154"], [], [], [], [], []]
+    edits = spark.createDataFrame([(0, "Climb to 1,000 feet at 90 kts."), (1, "Hold 20 psi, then 20 psi."), (2, "none"), (3, None), (4, "Drain 101.5 lbs now"), (5, "Wait 250 sec")], "i int, t string")
+    assert [r.q for r in edits.select("i", X.rewrite_quantity(F.col("t")).alias("q")).orderBy("i").collect()] == ["Climb to 1,200 feet at 90 kts.", "Hold 25 psi, then 20 psi.", None, None, "Drain 121.8 lbs now", "Wait 300 sec"]
+    words = spark.createDataFrame([(0, "see the warning lamp and the warning horn"), (1, "warning"), (2, None)], "i int, t string")
+    assert [r.w for r in words.select("i", X.rewrite_words(F.col("t")).alias("w")).orderBy("i").collect()] == ["see the caution lamp and the warning horn", None, None]
+    long = "One. Two is here. " + "x" * 40
+    sent = spark.createDataFrame([(0, long), (1, "One. " + "x" * 40), (2, "One. Two. short"), (3, None)], "i int, t string")
+    assert [r.s for r in sent.select("i", X.rewrite_sentence(F.col("t"), F.lit("New.")).alias("s")).orderBy("i").collect()] == ["One. Two is here. New.", None, None, None]
+
+
+@pytest.mark.parametrize(("text", "expected"), [("FUELPUMP", "FUEL PUMP"), ("FUELXPUMP", "FUELX PUMP"), ("abcDef", "abc Def"), ("KX12", "KX 12"), ("ON", "ON"), (None, ""), ("  A  B ", "A B"), ("ZZZZZ", "ZZZZZ")])
+def test_label_forms(text, expected):
+    from palimpsest.operators.geometry import label_form
+
+    assert label_form(text, ["FUEL", "PUMP", "FUELING"]) == expected
+
+
+def test_filled(spark):
+    m = spark.createDataFrame([(1, "f", "Abc"), (2, None, "abc"), (3, "g", None), (4, "h", "x")], "id bigint, fingerprint string, normalized string")
+    b = spark.createDataFrame([(10, "f", "q"), (9, "f", "r"), (11, None, "ABC"), (12, None, None)], "id bigint, fingerprint string, normalized string")
+    assert rows(O.filled(m, b)) == [(1, 9, "fingerprint"), (2, 11, "normal form")]
