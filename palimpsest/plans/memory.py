@@ -80,15 +80,8 @@ def translation_batches(spark: SparkSession, root: str) -> DataFrame:
     return M.greedy_batches(todo, "version_id", "id", F.char_length("text")).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query(f"{_PLAN} SELECT id, to_json(struct_pack(id := id, en := text)) AS payload FROM p WHERE action = 'machine' AND text IS NOT NULL AND regexp_matches(text, '^[ -!#-.0-\\[\\]-~]*$')")
-def prompt_records(spark: SparkSession, root: str) -> DataFrame:
-    """Prompt records of segments left to the machine (X18); texts without characters that JSON may escape in two ways."""
-    p = _plan(spark, root).filter((F.col("action") == "machine") & F.col("text").rlike("^[ -!#-.0-\\[\\]-~]*$"))
-    return M.prompts(p)
-
-
 @query()
-def prompt_records_whole(spark: SparkSession, root: str) -> DataFrame:
+def prompt_records(spark: SparkSession, root: str) -> DataFrame:
     """Prompt records of all segments left to translate, seeded ones with the old pair, whatever their texts hold."""
     return M.prompts(_plan(spark, root, derive=True))
 
@@ -217,3 +210,7 @@ def diff_reused(spark: SparkSession, root: str) -> DataFrame:
     path = f"{staging_root(spark)}/palimpsest/{uuid.uuid4().hex}/changes"
     align_stored(rows, steps, path)
     return change_counts(align_stored(rows, steps, path))
+
+
+#: Former name.
+QUERIES["prompt_records_whole"] = prompt_records

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalars as X
 from palimpsest.operators import relational as R
 from palimpsest.plans.changes import version_steps
-from palimpsest.plans.store import B, S, V, body, current, segments, versions
+from palimpsest.plans.store import B, S, V, body, current, segments, versions, keyed
 from palimpsest.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -201,3 +201,8 @@ def version_bundle(spark: SparkSession, root: str) -> DataFrame:
 # The same over all rows, without SQL: where the stored fingerprint is null the derived one stands for it.
 for _f in (diff_counts_relational, removed_slots):
     QUERIES[f"{_f.__name__}_whole"] = partial(_f, derive=True)
+
+# where no fingerprint comes out, the derived ones count under the plain name too; SQL names texts by their folded normal form
+for _name in ("diff_counts_relational", "removed_slots"):
+    QUERIES[_name] = QUERIES[f"{_name}_whole"]
+    SQL[_name] = keyed(SQL[_name])

@@ -71,6 +71,14 @@ def normal(c: str) -> str:
     return rf"trim(regexp_replace({shown}, '[\s\x{{000b}}\x{{001c}}-\x{{001f}}\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 
 
+def keyed(sql: str) -> str:
+    """A query's SQL with the case-folded normal form, derived where none is stored, in place of every fingerprint."""
+    key = f"""* REPLACE (lower(coalesce(normalized, {normal("coalesce(canonical_text, '')")})) AS fingerprint)"""
+    for rows in (B, S):
+        sql = sql.replace(rows, rows.replace("*", key, 1))
+    return sql
+
+
 def word_runs(words: str, k: int = 3) -> str:
     """The different runs of ``k`` words of a list in SQL; a shorter list is its only run."""
     return f"CASE WHEN len({words}) < {k} THEN [array_to_string({words}, ' ')] ELSE list_distinct(list_transform(range(1, len({words}) - {k - 2}), lambda i: array_to_string({words}[i:i + {k - 1}], ' '))) END"
@@ -386,3 +394,8 @@ def cache_drift(spark: SparkSession, root: str) -> DataFrame:
 # The same over all rows, without SQL: where the stored fingerprint is null the derived one stands for it.
 for _f in (fingerprint_dups, cache_lookup, fp_set_difference, migrate_coalesce, distinct_fingerprints, running_heads):
     QUERIES[f"{_f.__name__}_whole"] = partial(_f, derive=True)
+
+# where no fingerprint comes out, the derived ones count under the plain name too; SQL names texts by their folded normal form
+for _name in ("fp_set_difference", "migrate_coalesce", "distinct_fingerprints"):
+    QUERIES[_name] = QUERIES[f"{_name}_whole"]
+    SQL[_name] = keyed(SQL[_name])

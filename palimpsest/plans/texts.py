@@ -24,31 +24,25 @@ def query(sql: str | None = None):
     return register
 
 
-@query(f"WITH {S} SELECT id, normalized, fingerprint, content_hash FROM s WHERE normalized IS NOT NULL AND fingerprint IS NOT NULL AND content_hash IS NOT NULL")
-def derived_columns(spark: SparkSession, root: str) -> DataFrame:
-    """Normal form, fingerprint and content hash derived anew, where the importer stored them."""
-    rows = segments(spark, root, "canonical_text", "normalized", "fingerprint", "content_hash").filter("normalized IS NOT NULL AND fingerprint IS NOT NULL AND content_hash IS NOT NULL")
-    c = F.col("canonical_text")
-    return rows.select("id", normalize_col(c).alias("normalized"), fingerprint_col(c).alias("fingerprint"), content_hash_col(c).alias("content_hash"))
-
-
 @query()
-def derived_columns_whole(spark: SparkSession, root: str) -> DataFrame:
+def derived_columns(spark: SparkSession, root: str) -> DataFrame:
     """Normal form, fingerprint and content hash derived for every segment, stored or not."""
     c = F.col("canonical_text")
     return segments(spark, root, "canonical_text").select("id", normalize_col(c).alias("normalized"), fingerprint_col(c).alias("fingerprint"), content_hash_col(c).alias("content_hash"))
 
 
-@query(r"""SELECT doc_id, length(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS n, md5(lower(trim(regexp_replace(text, '[\s]+', ' ', 'g')))) AS print FROM documents WHERE regexp_matches(text, '^[\x20-\x5f\x61-\x7e\t\n\r]+$')""")
-def normalized_native(spark: SparkSession, root: str) -> DataFrame:
-    """The normal form inside codegen, on documents in ASCII."""
-    d = table(spark, root, "documents").filter(F.col("text").rlike("^[\\x20-\\x5f\\x61-\\x7e\\t\\n\\r]+$"))
-    n = normalize_native(F.col("text"))
-    return d.select("doc_id", F.char_length(n).cast("bigint").alias("n"), F.md5(F.lower(n)).alias("print"))
+@query(f"WITH {S} SELECT role, count(*) AS n, count(normalized) AS n_normalized, count(fingerprint) AS n_fingerprint, count(content_hash) AS n_content_hash FROM s GROUP BY role")
+def stored_columns_agree(spark: SparkSession, root: str) -> DataFrame:
+    """How many stored normal forms, fingerprints and content hashes equal those derived anew: all that are stored, as the SQL has it."""
+    c = F.col("canonical_text")
+    rows = segments(spark, root, "role", "canonical_text", "normalized", "fingerprint", "content_hash")
+    same = {"normalized": normalize_col(c), "fingerprint": fingerprint_col(c), "content_hash": content_hash_col(c)}
+    flags = rows.select("role", *((F.col(k) == d).alias(f"n_{k}") for k, d in same.items()))
+    return flags.groupBy("role").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(f"n_{k}").alias(f"n_{k}") for k in same))
 
 
 @query()
-def normalized_whole(spark: SparkSession, root: str) -> DataFrame:
+def normalized_native(spark: SparkSession, root: str) -> DataFrame:
     """The normal form of every document: inside codegen where the text is ASCII, by Python where NFKC may change it."""
     ascii_ = F.col("text").rlike("^[\\x20-\\x7e\\t\\n\\r]*$")
     n = F.coalesce(F.when(ascii_, normalize_native(F.col("text"))), normalize_col(F.when(~ascii_, F.col("text"))))
@@ -138,21 +132,13 @@ def neighbour_containment(spark: SparkSession, root: str) -> DataFrame:
     return w.select("id", "next_id", F.round(X.token_containment(F.col("a"), F.col("b")), 6).alias("contained"), F.round(X.len_ratio(F.col("a"), F.col("b")), 6).alias("lengths"))
 
 
-@query(f"""WITH {S}, x AS (SELECT id, coalesce(text, '') AS t, style.size AS size, style.color AS color FROM s) SELECT id, regexp_replace(upper(t), '[^A-Z0-9]', '', 'g') AS label,
+# upper case of ligatures and of the sharp s is two letters or three
+@query(f"""WITH {S}, x AS (SELECT id, coalesce(text, '') AS t, style.size AS size, style.color AS color FROM s) SELECT id, regexp_replace(upper(replace(replace(replace(replace(replace(replace(t, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS label,
 regexp_matches(t, '[0-9]') OR (regexp_replace(t, '[^A-Za-z]', '', 'g') <> '' AND regexp_replace(t, '[^A-Za-z]', '', 'g') = upper(regexp_replace(t, '[^A-Za-z]', '', 'g'))) AS code_like,
-CASE WHEN length(trim(t, ' ')) <= 8 AND regexp_matches(trim(t, ' '), '^[A-Z0-9-]+$') THEN 'code' WHEN len(string_split_regex(trim(t, ' '), ' +')) >= 5 AND regexp_matches(trim(t, ' '), '[.!?]$') THEN 'sentence' ELSE 'other' END AS bucket,
-(color >> 16) & 255 AS r, (color >> 8) & 255 AS g, color & 255 AS b FROM x WHERE regexp_matches(t, '^[\\x20-\\x7e\\n]*$')""")
+CASE WHEN length(trim(t, ' ')) <= 8 AND regexp_matches(trim(t, ' '), '^[A-Z0-9-]+\\n?$') THEN 'code' WHEN len(string_split_regex(trim(t, ' '), ' +')) >= 5 AND regexp_matches(trim(t, ' '), '[.!?]\\n?$') THEN 'sentence' ELSE 'other' END AS bucket,
+(color >> 16) & 255 AS r, (color >> 8) & 255 AS g, color & 255 AS b FROM x""")
 def label_forms(spark: SparkSession, root: str) -> DataFrame:
-    """Label keys, code-likeness, buckets and colours."""
-    t = F.col("text")
-    rows = segments(spark, root, "text", "style").withColumn("text", F.coalesce("text", F.lit(""))).filter(t.rlike("^[\\x20-\\x7e\\n]*$"))
-    rgb = X.int_to_rgb(F.col("style.color"))
-    return rows.select("id", X.upper_alnum(t).alias("label"), X.is_code_like(t).alias("code_like"), X.label_bucket(t).alias("bucket"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
-
-
-@query()
-def label_forms_whole(spark: SparkSession, root: str) -> DataFrame:
-    """The same for every segment, whatever its characters."""
+    """Label keys, code-likeness, buckets and colours of every segment."""
     t, rgb = F.col("text"), X.int_to_rgb(F.col("style.color"))
     rows = segments(spark, root, "text", "style").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("id", X.upper_alnum(t).alias("label"), X.is_code_like(t).alias("code_like"), X.label_bucket(t).alias("bucket"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
@@ -178,3 +164,8 @@ def script_run_counts(spark: SparkSession, root: str) -> DataFrame:
 def json_props(spark: SparkSession, root: str) -> DataFrame:
     """A value from a JSON column; null where the JSON is bad."""
     return table(spark, root, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+
+
+#: Former names.
+for _name, _of in (("derived_columns_whole", "derived_columns"), ("normalized_whole", "normalized_native"), ("label_forms_whole", "label_forms")):
+    QUERIES[_name] = QUERIES[_of]
