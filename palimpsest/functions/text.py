@@ -31,6 +31,7 @@ _MARKS = str.maketrans(
     | {c: None for c in ZERO_WIDTH}
     | {ELLIPSIS: "..."}
 )
+_MARK = re.compile("[" + "".join(map(chr, _MARKS)) + "]")
 _BACKTICK = str.maketrans({"`": "'"})
 
 
@@ -44,7 +45,7 @@ def normalize(text: str | None) -> str:
     if text.isascii():
         text = text.translate(_BACKTICK) if "`" in text else text
     else:
-        text = unicodedata.normalize("NFKC", text).translate(_MARKS)
+        text = _MARK.sub(lambda m: _MARKS[ord(m[0])] or "", unicodedata.normalize("NFKC", text))
     return " ".join(text.split())
 
 

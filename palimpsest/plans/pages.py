@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import geometry as G
 from palimpsest.operators.extraction import extract
 from palimpsest.plans.store import B, S, body, current, segments
-from palimpsest.sources.tables import once, table
+from palimpsest.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
@@ -68,16 +68,21 @@ def translated_layout(spark: SparkSession, root: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, root: str) -> DataFrame:
-    """The spans of every page, a line of a segment each, from the text lines and boxes of the segments table."""
-    rows = once(table(spark, root, "segments").select("id", "version_id", "doc_id", "page", "order_index", "text", "line_boxes", "bbox", "fonts", "style"))
-    lines = rows.filter("version_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").select("*", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    box = F.coalesce(F.try_element_at("line_boxes", F.col("line") + 1), F.col("bbox"))
+    """The spans of every page, a line of a segment each, from the text lines and boxes of the segments table.
+
+    Rows are brought together by page, and copies dropped there, before texts are divided: they are shuffled once.
+    """
     font = F.try_element_at("fonts", F.lit(1))
+    rows = table(spark, root, "segments").filter("version_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").select(
+        "id", "version_id", "doc_id", "page", F.coalesce("order_index", F.lit(0)).alias("block"), "text", "line_boxes", "bbox", F.coalesce(font["size"], F.col("style.size"), F.lit(10.0)).alias("size"),
+        F.coalesce(font["font"], F.lit("")).alias("font"), F.coalesce(font["color"], F.lit(0)).alias("color"), F.coalesce(font["flags"], F.lit(0)).alias("flags"),
+    )
+    lines = rows.repartition("version_id", "page").dropDuplicates(["version_id", "page", "id"]).select("*", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    box = F.coalesce(F.try_element_at("line_boxes", F.col("line") + 1), F.col("bbox"))
     corner = lambda c: F.coalesce(box[c], F.lit(0.0)).alias(c)
     return lines.select(
-        "version_id", "doc_id", "page", F.coalesce("order_index", F.lit(0)).alias("block"), "line", F.lit(0).alias("span"), F.col("t").alias("text"), *map(corner, ("x0", "y0", "x1", "y1")),
-        F.coalesce(box["x0"], F.lit(0.0)).alias("origin_x"), F.coalesce(box["y1"], F.lit(0.0)).alias("origin_y"), F.coalesce(font["size"], F.col("style.size"), F.lit(10.0)).alias("size"),
-        F.coalesce(font["font"], F.lit("")).alias("font"), F.coalesce(font["color"], F.lit(0)).alias("color"), F.coalesce(font["flags"], F.lit(0)).alias("flags"), F.lit(PAGE_WIDTH).alias("width"),
+        "version_id", "doc_id", "page", "block", "line", F.lit(0).alias("span"), F.col("t").alias("text"), *map(corner, ("x0", "y0", "x1", "y1")),
+        F.coalesce(box["x0"], F.lit(0.0)).alias("origin_x"), F.coalesce(box["y1"], F.lit(0.0)).alias("origin_y"), "size", "font", "color", "flags", F.lit(PAGE_WIDTH).alias("width"),
     )
 
 
@@ -88,5 +93,5 @@ PAGE_WIDTH = 595.0
 @query()
 def extracted_segments(spark: SparkSession, root: str) -> DataFrame:
     """Segments made anew from the spans of every page: kinds, roles and order."""
-    made = extract(spans(spark, root))
-    return made.select("version_id", "page", "order_index", "kind", "role", "canonical_text", "fingerprint", F.size("line_boxes").alias("n_lines"))
+    made = extract(spans(spark, root), by_page=True, columns=("kind", "role", "canonical_text", "fingerprint", "n_lines"))
+    return made.select("version_id", "page", "order_index", "kind", "role", "canonical_text", "fingerprint", "n_lines")

@@ -1,5 +1,9 @@
 """Extraction from spans, spatial joins, line breaking and placing."""
 
+import random
+from itertools import permutations
+
+from __spark_entry__ import queries
 from palimpsest.operators import extraction as E
 from palimpsest.operators import geometry as G
 
@@ -50,6 +54,46 @@ def test_extraction(spark):
     assert E.extract(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_extraction_runs_once(spark, root):
+    plan = queries()["extracted_segments"](spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan
+    assert plan.count("Exchange ") == 2  # rows by page, segments by version
+
+
+def test_pages_over_the_ends_of_batches(spark):
+    whole = E.extract(spark.createDataFrame(page_rows(), KIND)).orderBy("order_index").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert E.extract(spark.createDataFrame(page_rows(), KIND)).orderBy("order_index").collect() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spans_of_one_number_come_in_one_order(spark):
+    rows = [span(0, 0, 0, t, x, y) for t, x, y in (("alpha beta", 54, 100), ("gamma delta", 150, 104), ("epsilon zeta", 260, 108))]
+    got = {tuple((r.text, r.n_lines) for r in E.extract(spark.createDataFrame(order, KIND).coalesce(1), columns=("text", "n_lines")).orderBy("order_index").collect()) for order in permutations(rows)}
+    assert len(got) == 1
+
+
+def test_lines_compare_within_reach():
+    piece = lambda base, size=10.0: E.Piece("x", 0.0, base - 8, 5.0, base + 2, base, size, "", 0, 0, 0, False, False, False, round(base, 1))
+
+    def plain(pieces):
+        lines = []
+        for p in pieces:
+            home = next((ln for ln in lines if E.same_baseline(ln[0], p)), None)
+            home.append(p) if home else lines.append([p])
+        return lines
+
+    rng = random.Random(7)
+    for n in range(300):
+        pieces = [piece(rng.uniform(0, 200), rng.choice((4.0, 10.0, 40.0))) for _ in range(rng.randrange(1, 40))]
+        if n % 3:
+            pieces.sort(key=lambda p: p.row)
+        assert E.onto_lines(pieces) == plain(pieces)
+    assert len(E.onto_lines([piece(13.4 * n) for n in range(20_000)])) == 20_000
+
+
 def test_wrap_and_fit():
     assert G.wrap("左泵开关。右泵", 10, 40) == ["左泵开关。", "右泵"]
     assert G.wrap("（泵）开关", 10, 20) == ["（泵）", "开关"] or all(not ln.endswith("（") for ln in G.wrap("（泵）开关", 10, 20))
